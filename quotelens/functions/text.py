@@ -17,9 +17,13 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 WHOLE_NUMBER = r"^[+-]?\d+$"
 
 
+# Every character that counts as white space, as trimmed from both ends of a cell.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode space, not only ASCII blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_cell(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """Ordered repair rules for misplaced columns.
 
-Each rule is a condition plus the columns it rewrites. Rules see the result of the rule
-before, so every rule is its own projection; names of the rules that fired are collected
-in `changed_rules`.
+A rule is a condition on a line record and the fields it rewrites. Every rule sees the
+result of the rule before. The chain is one expression, a sequence of transforms over a
+one-record array: a rule names its input once, so neither the expression nor a predicate
+that the optimizer pushes through it grows with the number of rules.
 """
 
 from __future__ import annotations
@@ -20,127 +21,123 @@ CHANGED = "changed_rules"
 RULE_COLUMNS = ["item_name", "spec", "unit", "maker", "unit_name"]
 
 
-def _val(name: str) -> Column:
-    return strip(F.coalesce(F.col(name), F.lit("")))
+@dataclass(frozen=True)
+class Rule:
+    """fires(record) -> the line is changed; updates(record) -> new values of the changed fields."""
 
+    name: str
+    fires: Callable[[Column], Column]
+    updates: Callable[[Column], dict[str, Column]]
 
-def _is_unit(c: Column) -> Column:
-    return c.isin(*V.RULE_UNITS)
+    def step(self, record: Column) -> Column:
+        new = self.updates(record)
+        fields = {c: new.get(c, record[c]) for c in RULE_COLUMNS}
+        changed = F.struct(
+            *[value.alias(c) for c, value in fields.items()],
+            record["unit_price"].alias("unit_price"),
+            F.array_append(record[CHANGED], F.lit(self.name)).alias(CHANGED),
+        )
+        return F.when(self.fires(record), changed).otherwise(record)
 
 
-@dataclass(frozen=True)
-class Rule:
-    """fires -> the row is changed; updates -> new values of the changed columns."""
+def _val(r: Column, name: str) -> Column:
+    return strip(r[name])
 
-    name: str
-    fires: Callable[[], Column]
-    updates: Callable[[], dict[str, Column]]
 
-    def apply(self, items: DataFrame) -> DataFrame:
-        hit = "__hit"
-        flagged = items.withColumn(hit, F.coalesce(self.fires(), F.lit(False)))
-        new = {
-            c: F.when(F.col(hit), value).otherwise(F.col(c)) for c, value in self.updates().items()
-        }
-        log = F.when(F.col(hit), F.array_append(CHANGED, F.lit(self.name))).otherwise(F.col(CHANGED))
-        return flagged.withColumns({**new, CHANGED: log}).drop(hit)
+def _is_unit(c: Column) -> Column:
+    return c.isin(*V.RULE_UNITS)
 
 
-def _first_column(columns: list[str], test: Callable[[str], Column]) -> Column:
-    """Name of the first column that passes the test, null when none does."""
-    return F.coalesce(*[F.when(test(c), F.lit(c)) for c in columns])
+def _first(r: Column, columns: list[str], test: Callable[[Column], Column]) -> Column:
+    """Name of the first field that passes the test, null when none does."""
+    return F.coalesce(*[F.when(test(_val(r, c)), F.lit(c)) for c in columns])
 
 
-def _swap_in(columns: list[str], test: Callable[[str], Column], target: str, canonical: Callable[[Column], Column]):
-    """Swap the first column passing `test` with `target`, writing the canonical value."""
-    source = _first_column(columns, test)
-    updates = {c: F.when(source == c, _val(target)).otherwise(F.col(c)) for c in columns}
-    found = F.coalesce(*[F.when(source == c, canonical(_val(c))) for c in columns])
-    return source, updates, found
+def _swap(
+    r: Column, columns: list[str], test: Callable[[Column], Column], target: str, value: Callable[[Column], Column]
+) -> dict[str, Column]:
+    """Swap the first field passing the test with `target`, which gets the canonical value."""
+    source = _first(r, columns, test)
+    moved = {c: F.when(source == c, _val(r, target)).otherwise(r[c]) for c in columns}
+    found = F.coalesce(*[F.when(source == c, value(_val(r, c))) for c in columns])
+    return {**moved, target: F.coalesce(found, r[target])}
 
 
 _UNIT_SOURCES = ["spec", "item_name", "maker", "unit_name"]
 _MAKER_SOURCES = ["spec", "item_name", "unit_name", "unit"]
 
 
-def _unit_in(c: str) -> Column:
-    return _is_unit(_val(c))
-
-
 def _unit_value(c: Column) -> Column:
     return lookup(c, V.RULE_UNITS)
 
 
-def _unit_fires() -> Column:
-    own = _unit_value(_val("unit"))
-    return F.when(own.isNotNull(), own != _val("unit")).otherwise(any_of(_unit_in(c) for c in _UNIT_SOURCES))
-
-
-def _unit_updates() -> dict[str, Column]:
-    own = _unit_value(_val("unit"))
-    _, moved, found = _swap_in(_UNIT_SOURCES, _unit_in, "unit", _unit_value)
-    kept = {c: F.when(own.isNotNull(), F.col(c)).otherwise(v) for c, v in moved.items()}
-    return {**kept, "unit": F.coalesce(own, found)}
+def _unit_fires(r: Column) -> Column:
+    own = _unit_value(_val(r, "unit"))
+    return F.when(own.isNotNull(), own != _val(r, "unit")).otherwise(
+        any_of(_is_unit(_val(r, c)) for c in _UNIT_SOURCES)
+    )
 
 
-def _maker_value(c: Column) -> Column:
-    return lookup(F.lower(c), V.RULE_MAKERS)
+def _unit_updates(r: Column) -> dict[str, Column]:
+    own = _unit_value(_val(r, "unit"))
+    swapped = _swap(r, _UNIT_SOURCES, _is_unit, "unit", _unit_value)
+    return {
+        **{c: F.when(own.isNotNull(), r[c]).otherwise(swapped[c]) for c in _UNIT_SOURCES},
+        "unit": F.coalesce(own, swapped["unit"]),
+    }
 
 
-def _maker_in(c: str) -> Column:
-    return F.lower(_val(c)).isin(*V.RULE_MAKERS)
+def _is_maker(c: Column) -> Column:
+    return F.lower(c).isin(*V.RULE_MAKERS)
 
 
-def _maker_updates() -> dict[str, Column]:
-    _, moved, found = _swap_in(_MAKER_SOURCES, _maker_in, "maker", _maker_value)
-    return {**moved, "maker": found}
+def _maker_updates(r: Column) -> dict[str, Column]:
+    return _swap(r, _MAKER_SOURCES, _is_maker, "maker", lambda c: lookup(F.lower(c), V.RULE_MAKERS))
 
 
-def _model_or_empty() -> Column:
+def _model(r: Column) -> Column:
     """The unit cell when it holds something other than a unit."""
-    return F.when(_is_unit(_val("unit")), F.lit("")).otherwise(_val("unit"))
+    unit = _val(r, "unit")
+    return F.when(_is_unit(unit), F.lit("")).otherwise(unit)
 
 
-def _shift_left(unit: str) -> dict[str, Column]:
-    return {"item_name": _val("spec"), "spec": _model_or_empty(), "unit": F.lit(unit)}
+def _shift_left(r: Column, unit: str) -> dict[str, Column]:
+    return {"item_name": _val(r, "spec"), "spec": _model(r), "unit": F.lit(unit)}
 
 
-def _no_maker() -> Column:
-    return (_val("maker") != "") & ~_maker_in("maker")
-
-
-def _invalid_updates() -> dict[str, Column]:
-    moved = (_val("spec") == "") & _no_maker()
+def _invalid_updates(r: Column) -> dict[str, Column]:
+    maker = _val(r, "maker")
+    moved = (_val(r, "spec") == "") & (maker != "") & ~_is_maker(maker)
     return {
-        "item_name": _val("spec"),
-        "spec": F.when(moved, _val("maker")).otherwise(F.lit("")),
-        "maker": F.when(moved, F.lit("")).otherwise(F.col("maker")),
+        "item_name": _val(r, "spec"),
+        "spec": F.when(moved, maker).otherwise(F.lit("")),
+        "maker": F.when(moved, F.lit("")).otherwise(r["maker"]),
     }
 
 
-def _correction_matches() -> list[tuple[Column, dict[str, str]]]:
+def _corrections(r: Column) -> list[tuple[Column, dict[str, str]]]:
     out = []
     for match, patch in V.RULE_CORRECTIONS:
         test = F.lit(True)
         for c, v in match.items():
-            test = test & (_val(c) == v)
+            test = test & (_val(r, c) == v)
         out.append((test, patch))
     return out
 
 
-def _manual_updates() -> dict[str, Column]:
-    pairs = _correction_matches()
+def _manual_updates(r: Column) -> dict[str, Column]:
+    pairs = _corrections(r)
     out = {}
     for c in sorted({c for _, patch in pairs for c in patch}):
         choice = F
         for test, patch in pairs:
-            choice = choice.when(test, F.lit(patch[c]) if c in patch else F.col(c))
-        out[c] = choice.otherwise(F.col(c))
+            choice = choice.when(test, F.lit(patch[c]) if c in patch else r[c])
+        out[c] = choice.otherwise(r[c])
     return out
 
 
-def _price_unit() -> Column:
-    price = F.coalesce(F.col("unit_price"), F.lit(0))
+def _price_unit(r: Column) -> Column:
+    price = F.coalesce(r["unit_price"], F.lit(0))
     return (
         F.when(price < V.RULE_SET_FROM_PRICE, F.lit("EA"))
         .when(price < V.RULE_LUMP_FROM_PRICE, F.lit("SET"))
@@ -149,69 +146,70 @@ def _price_unit() -> Column:
 
 
 RULES: dict[str, Rule] = {
-    r.name: r
-    for r in [
+    rule.name: rule
+    for rule in [
         Rule("rule_01_unit", _unit_fires, _unit_updates),
-        Rule("rule_02_maker", lambda: any_of(_maker_in(c) for c in _MAKER_SOURCES), _maker_updates),
+        Rule("rule_02_maker", lambda r: any_of(_is_maker(_val(r, c)) for c in _MAKER_SOURCES), _maker_updates),
         Rule(
             "rule_03_spec",
-            lambda: _val("unit").isin(*V.RULE_SPECS),
-            lambda: {"spec": _val("unit"), "unit": F.lit("")},
+            lambda r: _val(r, "unit").isin(*V.RULE_SPECS),
+            lambda r: {"spec": _val(r, "unit"), "unit": F.lit("")},
         ),
         Rule(
             "rule_08_category",
-            lambda: (_val("item_name").isin(*V.RULE_CATEGORY_LABELS) | _val("item_name").rlike(V.RULE_OP_LABEL))
-            & (_val("spec") != ""),
-            lambda: _shift_left("EA"),
+            lambda r: (
+                _val(r, "item_name").isin(*V.RULE_CATEGORY_LABELS) | _val(r, "item_name").rlike(V.RULE_OP_LABEL)
+            ) & (_val(r, "spec") != ""),
+            lambda r: _shift_left(r, "EA"),
         ),
         Rule(
             "rule_09_material",
-            lambda: (_val("item_name") == V.RULE_MATERIAL_NAME) & (_val("spec") == V.RULE_MATERIAL_SPEC)
-            & (_val("unit") != "") & ~_is_unit(_val("unit")),
-            lambda: {"item_name": _val("unit"), "spec": F.lit(V.RULE_MATERIAL_SPEC), "unit": F.lit("")},
+            lambda r: (_val(r, "item_name") == V.RULE_MATERIAL_NAME) & (_val(r, "spec") == V.RULE_MATERIAL_SPEC)
+            & (_val(r, "unit") != "") & ~_is_unit(_val(r, "unit")),
+            lambda r: {"item_name": _val(r, "unit"), "spec": F.lit(V.RULE_MATERIAL_SPEC), "unit": F.lit("")},
         ),
         Rule(
             "rule_10_nset",
-            lambda: _val("item_name").rlike(V.RULE_NSET) & (_val("spec") != ""),
-            lambda: _shift_left("SET"),
+            lambda r: _val(r, "item_name").rlike(V.RULE_NSET) & (_val(r, "spec") != ""),
+            lambda r: _shift_left(r, "SET"),
         ),
-        Rule("rule_04_invalid", lambda: _val("item_name").isin(*V.RULE_INVALID_NAMES), _invalid_updates),
-        Rule("rule_05_manual", lambda: any_of(t for t, _ in _correction_matches()), _manual_updates),
+        Rule("rule_04_invalid", lambda r: _val(r, "item_name").isin(*V.RULE_INVALID_NAMES), _invalid_updates),
+        Rule("rule_05_manual", lambda r: any_of(test for test, _ in _corrections(r)), _manual_updates),
         Rule(
             "rule_06_dup",
-            lambda: (_val("item_name") != "") & (_val("item_name") == _val("spec")),
-            lambda: {
-                "spec": _model_or_empty(),
-                "unit": F.when(_model_or_empty() != "", F.lit("EA")).otherwise(F.col("unit")),
-            },
+            lambda r: (_val(r, "item_name") != "") & (_val(r, "item_name") == _val(r, "spec")),
+            lambda r: {"spec": _model(r), "unit": F.when(_model(r) != "", F.lit("EA")).otherwise(r["unit"])},
         ),
-        Rule("rule_07_infer", lambda: _val("unit") == "", lambda: {"unit": _price_unit()}),
+        Rule("rule_07_infer", lambda r: _val(r, "unit") == "", lambda r: {"unit": _price_unit(r)}),
     ]
 }
 
 
-def _with_log(items: DataFrame) -> DataFrame:
-    if CHANGED in items.columns:
-        return items
-    return items.withColumn(CHANGED, F.array().cast("array<string>"))
+def _run(items: DataFrame, rules: list[Rule]) -> DataFrame:
+    log = F.col(CHANGED) if CHANGED in items.columns else F.array().cast("array<string>")
+    record = F.struct(
+        *[F.coalesce(c, F.lit("")).alias(c) for c in RULE_COLUMNS], F.col("unit_price"), log.alias(CHANGED)
+    )
+    chain = F.array(record)
+    for rule in rules:
+        chain = F.transform(chain, rule.step)
+    out = items.withColumn("__record", F.get(chain, F.lit(0)))
+    return out.withColumns({c: F.col(f"__record.{c}") for c in [*RULE_COLUMNS, CHANGED]}).drop("__record")
 
 
 def apply_rule(items: DataFrame, name: str) -> DataFrame:
-    return RULES[name].apply(_with_log(items))
+    return _run(items, [RULES[name]])
 
 
 def apply_rules(items: DataFrame) -> DataFrame:
     """All rules in their fixed order; row count never changes."""
-    out = _with_log(items)
-    for rule in RULES.values():
-        out = rule.apply(out)
-    return out
+    return _run(items, list(RULES.values()))
 
 
 def rule_counts(repaired: DataFrame) -> DataFrame:
-    """How many rows each rule changed."""
-    return (
-        repaired.select(F.explode(CHANGED).alias("rule"))
-        .groupBy("rule")
-        .agg(F.count(F.lit(1)).alias("changed"))
+    """How many rows each rule changed; one counter per rule, so nothing is exploded."""
+    counts = repaired.agg(
+        *[F.count_if(F.array_contains(CHANGED, name)).alias(name) for name in RULES]
     )
+    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("changed")) for name in RULES])
+    return counts.select(F.inline(pairs)).filter("changed > 0")
