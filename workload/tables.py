@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quotelens.operators.master import issue_ids
 from quotelens.operators.normalize import enrich_items
 from quotelens.operators.pricing import master_source, standard_price, trusted
+from quotelens.plans.checkpoints import scratch_path
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -137,21 +138,46 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _rows(df: DataFrame, sheet_idx: int, sheet: Column, row_idx: Column, cells: list[Column]) -> DataFrame:
-    return df.select(
-        F.col("header_id").cast("string").alias("file_id"),
-        F.concat(F.lit("견적서(V"), F.col("customer").cast("string"), F.lit(").xlsx")).alias("file_name"),
-        F.lit(sheet_idx).alias("sheet_idx"), sheet.alias("sheet"), row_idx.cast("int").alias("row_idx"),
-        F.array(*cells).alias("cells"),
+def _row(sheet_idx: int | Column, sheet: str | Column, row_idx: int | Column, cells: list) -> Column:
+    """One rendered sheet row; plain strings stand for themselves."""
+    def lit(v):
+        return v if isinstance(v, Column) else F.lit(v)
+
+    return F.struct(
+        lit(sheet_idx).cast("int").alias("sheet_idx"), lit(sheet).alias("sheet"),
+        lit(row_idx).cast("int").alias("row_idx"), F.array(*[lit(c) for c in cells]).alias("cells"),
     )
 
 
 def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders rendered as quotation workbooks.
+    """Orders rendered as quotation workbooks and staged once as a table, like files that landed.
 
     Order number mod 4: 0 and 1 standard, 2 assembly, 3 unknown layout; every 29th is locked.
     """
-    lit, col = F.lit, F.col
+    return staged(spark, sf, "sheet-rows", _render_sheets)
+
+
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Input table derived from the given tables, written once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    path = _STAGED.get(key)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, name)
+        build(spark, sf).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _render_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    col = F.col
     orders = load(spark, sf, "orders").select(
         col("o_orderkey").alias("header_id"), col("o_custkey").alias("customer"),
         col("o_orderpriority").alias("project"), col("o_orderdate").cast("date").alias("quote_date"),
@@ -159,51 +185,48 @@ def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
     lines = numbered_lines(spark, sf).join(orders.select("header_id", "customer"), "header_id")
     kind = col("header_id") % 4
-    std_orders, asm_orders = orders.filter(kind < 2), orders.filter(kind == 2)
-    number = F.concat(lit("Q-"), col("header_id").cast("string"))
-    date = F.concat(col("quote_date").cast("string"), lit(" 00:00:00"))
-    cover = lit("갑지")
-    first = F.when(col("header_id") % 29 == 0, lit("IRM protected")).otherwise(lit("見積"))
+    number = F.concat(F.lit("Q-"), col("header_id").cast("string"))
+    date = F.concat(col("quote_date").cast("string"), F.lit(" 00:00:00"))
+    first = F.when(col("header_id") % 29 == 0, F.lit("IRM protected")).otherwise(F.lit("見積"))
     price = F.format_number("unit_price", 0)
-    asm_sheets = [(1, "10", 1), (2, "20", 0)]
-    parts = [
-        _rows(std_orders, 0, cover, lit(0), [first, lit(" "), lit("None")]),
-        _rows(std_orders, 0, cover, lit(1), [lit("견적번호"), lit("12"), number]),
-        _rows(std_orders, 0, cover, lit(2), [lit("제출일"), date]),
-        _rows(std_orders, 0, cover, lit(3), [F.concat(lit("공사명 : "), col("project"))]),
-        _rows(std_orders, 0, cover, lit(4), [lit("견적금액"), F.format_number("total", 0)]),
-        _rows(std_orders, 1, lit("ASSY-1"), lit(0), [
-            lit("단위공사명"), F.concat(lit("UNIT "), col("project"))]),
-        _rows(std_orders, 1, lit("ASSY-1"), lit(1), [lit(""), lit("None"), lit("　")]),
-        _rows(std_orders, 1, lit("ASSY-1"), lit(2), [
-            lit(w) for w in ("No", "품 명", "규격", "단위", "수량", "단 가", "금액", "메이커")]),
-        _rows(lines.filter(kind < 2), 1, lit("ASSY-1"), col("rn") + 2, [
-            _text(col("rn")), F.when(col("rn") % 7 == 0, lit("1,234")).otherwise(col("item_name")),
-            _text(col("spec")), F.concat(lit(" "), col("unit"), lit(" ")), _text(col("quantity")),
-            F.when(col("rn") % 6 == 0, lit("")).otherwise(price), _text(col("amount")), col("maker")]),
-        _rows(std_orders, 1, lit("ASSY-1"), lit(500), [
-            lit(w) for w in ("", "소 계", "", "", "", "1", "5000", "")]),
-        _rows(asm_orders, 0, lit("견적서"), lit(0), [lit("견적번호"), number]),
-        _rows(asm_orders, 0, lit("견적서"), lit(1), [lit("견적일"), date]),
-        _rows(asm_orders, 0, lit("견적서"), lit(2), [
-            lit("상호"), F.concat(lit("V"), F.lpad(col("customer").cast("string"), 6, "0"))]),
-        _rows(asm_orders, 0, lit("견적서"), lit(3), [lit("공사명"), col("project")]),
-        _rows(orders.filter(kind == 3), 0, lit("Notes"), lit(0), [lit("memo"), col("project")]),
+    standard_rows = F.array(
+        _row(0, "갑지", 0, [first, " ", "None"]),
+        _row(0, "갑지", 1, ["견적번호", "12", number]),
+        _row(0, "갑지", 2, ["제출일", date]),
+        _row(0, "갑지", 3, [F.concat(F.lit("공사명 : "), col("project"))]),
+        _row(0, "갑지", 4, ["견적금액", F.format_number("total", 0)]),
+        _row(1, "ASSY-1", 0, ["단위공사명", F.concat(F.lit("UNIT "), col("project"))]),
+        _row(1, "ASSY-1", 1, ["", "None", "　"]),
+        _row(1, "ASSY-1", 2, ["No", "품 명", "규격", "단위", "수량", "단 가", "금액", "메이커"]),
+        _row(1, "ASSY-1", 500, ["", "소 계", "", "", "", "1", "5000", ""]),
+    )
+    heading = ["위치", "품 명", "규격", "단위", "수량", "단가(원)", "금액(원)"]
+    assembly_rows = F.array(
+        _row(0, "견적서", 0, ["견적번호", number]),
+        _row(0, "견적서", 1, ["견적일", date]),
+        _row(0, "견적서", 2, ["상호", F.concat(F.lit("V"), F.lpad(col("customer").cast("string"), 6, "0"))]),
+        _row(0, "견적서", 3, ["공사명", col("project")]),
+        *[_row(i, name, 0, [f"공정 {name}"]) for i, name in ((1, "10"), (2, "20"))],
+        *[_row(i, name, 2, heading) for i, name in ((1, "10"), (2, "20"))],
+    )
+    other_rows = F.array(_row(0, "Notes", 0, ["memo", col("project")]))
+    odd = col("rn") % 2 == 1
+    line_row = F.when(kind < 2, _row(1, "ASSY-1", col("rn") + 2, [
+        _text(col("rn")), F.when(col("rn") % 7 == 0, "1,234").otherwise(col("item_name")),
+        _text(col("spec")), F.concat(F.lit(" "), col("unit"), F.lit(" ")), _text(col("quantity")),
+        F.when(col("rn") % 6 == 0, "").otherwise(price), _text(col("amount")), col("maker"),
+    ])).when(kind == 2, _row(F.when(odd, 1).otherwise(2), F.when(odd, "10").otherwise("20"), col("rn") + 2, [
+        F.concat(F.lit("A-"), col("rn").cast("string")), col("item_name"), _text(col("spec")), col("unit"),
+        _text(col("quantity")), F.when(col("rn") % 5 == 0, "").otherwise(price), _text(col("amount")),
+    ]))
+    file = [
+        col("header_id").cast("string").alias("file_id"),
+        F.concat(F.lit("견적서(V"), col("customer").cast("string"), F.lit(").xlsx")).alias("file_name"),
     ]
-    for idx, name, odd in asm_sheets:
-        parts += [
-            _rows(asm_orders, idx, lit(name), lit(0), [lit(f"공정 {name}")]),
-            _rows(asm_orders, idx, lit(name), lit(2), [
-                lit(w) for w in ("위치", "품 명", "규격", "단위", "수량", "단가(원)", "금액(원)")]),
-            _rows(lines.filter((kind == 2) & (col("rn") % 2 == odd)), idx, lit(name), col("rn") + 2, [
-                F.concat(lit("A-"), col("rn").cast("string")), col("item_name"), _text(col("spec")), col("unit"),
-                _text(col("quantity")), F.when(col("rn") % 5 == 0, lit("")).otherwise(price),
-                _text(col("amount"))]),
-        ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    per_order = F.when(kind < 2, standard_rows).when(kind == 2, assembly_rows).otherwise(other_rows)
+    return orders.select(*file, F.inline(per_order)).unionByName(
+        lines.filter(kind < 3).select(*file, line_row.alias("r")).select("file_id", "file_name", "r.*")
+    )
 
 
 # SQL twins -----------------------------------------------------------------------------
