@@ -35,9 +35,32 @@ def _visits(keywords: DataFrame) -> DataFrame:
     )
 
 
-def _hit() -> Column:
-    kw = F.lower("keyword")
-    return F.lower("name").contains(kw) | F.lower(F.coalesce("spec", F.lit(""))).contains(kw)
+_PROBE = 3
+
+
+def _substrings(c: Column) -> Column:
+    text = F.lower(F.coalesce(c, F.lit("")))
+    return F.flatten(F.transform(
+        F.array(*[F.lit(n) for n in range(1, _PROBE + 1)]),
+        lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)
+        ),
+    ))
+
+
+def _hits(visits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a category whose name or spec contains the keyword.
+
+    The first characters of the keyword are an equi-join key against the substrings of a
+    row, so keywords meet only rows that share them, never a whole category.
+    """
+    keyword = F.lower("keyword")
+    probes = visits.filter(F.col("keyword") != "").withColumn("probe", F.substring(keyword, 1, _PROBE))
+    grams = rows.withColumn(
+        "probe", F.explode(F.array_distinct(F.concat(_substrings(F.col("name")), _substrings(F.col("spec")))))
+    )
+    contains = F.lower("name").contains(keyword) | F.lower(F.coalesce("spec", F.lit(""))).contains(keyword)
+    return probes.join(grams, ["cate_cd", "probe"]).filter(contains).drop("probe")
 
 
 def search(keywords: DataFrame, market: DataFrame, max_results: int = 20) -> DataFrame:
@@ -48,17 +71,15 @@ def search(keywords: DataFrame, market: DataFrame, max_results: int = 20) -> Dat
     keep their first row. `market` columns: cate_cd, seq (row order in the category), name,
     spec, unit, price, price_min, price_max.
 
-    Only category sizes and the first max_results distinct rows of a category can matter, so
-    rows are counted and cut per category before keywords meet them: the join carries at
-    most max_results rows per keyword and category, whatever a category holds.
+    Only sizes and the first max_results distinct rows of a category can matter, so both are
+    worked out per category before keywords meet them: a keyword joins at most max_results
+    rows per category, whatever the category holds.
     """
     visits = _visits(keywords)
-    # The category-wide part is shared by all keywords that find no hit in it.
     sizes = market.groupBy("cate_cd").agg(F.count(F.lit(1)).alias("size"))
     whole = _leading(market, ["cate_cd"], max_results)
 
-    rows = market.select("cate_cd", "seq", "name", "spec", "unit", "price", "price_min", "price_max")
-    hits = visits.join(rows, "cate_cd").filter(_hit())
+    hits = _hits(visits, market.select("cate_cd", "seq", "name", "spec", "unit", "price", "price_min", "price_max"))
     hit_counts = hits.groupBy("keyword", "cate_cd").agg(F.count(F.lit(1)).alias("hits"))
     planned = (
         visits.join(sizes, "cate_cd")

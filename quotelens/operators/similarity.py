@@ -191,11 +191,3 @@ def search_vectors(index: DataFrame, query: list[float], n: int = 5, id_column:
         raise ValueError("query vector is empty")
     scored = cosine_scores(index, query).withColumn("score", F.round("score", _DIGITS))
     return scored.orderBy(F.desc("score"), id_column).limit(n)
-
-
-def save_vectors(index: DataFrame, path: str) -> None:
-    index.withColumn("embedding", F.col("embedding").cast("array<float>")).write.mode("overwrite").parquet(path)
-
-
-def load_vectors(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
