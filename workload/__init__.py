@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-MODULES = ["pricing_queries", "review_queries", "rule_queries", "parsing_queries", "search_queries"]
+MODULES = [
+    "pricing_queries", "review_queries", "rule_queries", "parsing_queries", "search_queries", "function_queries",
+    "ingest_queries",
+]
 
 
 def load_all() -> None:
