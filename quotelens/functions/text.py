@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-WHOLE_NUMBER = r"^[+-]?\d+$"
+NUMBER = r"(?U)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+WHOLE_NUMBER = r"(?U)^\s*[+-]?[0-9]+\s*$"
 
 
 # Every character that counts as white space, as trimmed from both ends of a cell.
@@ -26,9 +26,18 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
-def clean_cell(c: Column) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
-    return F.when(s.isin("None", "nan"), F.lit("")).otherwise(s)
+BLANK_CELL = r"(?U)^\s*(None|nan)?\s*$"
+
+
+def is_blank_cell(c: Column) -> Column:
+    """True when clean_cells leaves nothing of the cell."""
+    return c.isNull() | c.rlike(BLANK_CELL)
+
+
+def clean_cells(cells: Column) -> Column:
+    """Trimmed cells; null, 'None' and 'nan' become empty."""
+    trimmed = F.transform(cells, lambda c: strip(F.coalesce(c, F.lit(""))))
+    return F.transform(trimmed, lambda c: F.when(c.isin("None", "nan"), F.lit("")).otherwise(c))
 
 
 def one_line(c: Column) -> Column:
@@ -37,7 +46,7 @@ def one_line(c: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    return strip(F.replace(c, F.lit(","), F.lit("")))
+    return F.replace(c, F.lit(","), F.lit(""))
 
 
 def is_number(c: Column) -> Column:
@@ -46,8 +55,7 @@ def is_number(c: Column) -> Column:
 
 
 def to_double(c: Column) -> Column:
-    p = _plain(c)
-    return F.when(p.rlike(NUMBER), p.try_cast("double"))
+    return F.when(_plain(c).rlike(NUMBER), strip(_plain(c)).try_cast("double"))
 
 
 def to_long(c: Column) -> Column:
@@ -57,13 +65,12 @@ def to_long(c: Column) -> Column:
 
 def to_long_strict(c: Column) -> Column:
     """Whole-number text only; '12.5' gives null."""
-    p = _plain(c)
-    return F.when(p.rlike(WHOLE_NUMBER), p.try_cast("bigint"))
+    return F.when(_plain(c).rlike(WHOLE_NUMBER), strip(_plain(c)).try_cast("bigint"))
 
 
 def numbers(cells: Column) -> Column:
     """All numeric cells of a row as doubles, in order."""
-    return F.transform(F.filter(cells, is_number), to_double)
+    return F.filter(F.transform(cells, to_double), lambda v: v.isNotNull())
 
 
 def texts(cells: Column) -> Column:
@@ -81,7 +88,8 @@ def any_of(parts: Iterable[Column]) -> Column:
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
-    return any_of(c.contains(w) for w in words)
+    """One alternation of quoted words: a long list stays a single expression."""
+    return c.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def parse_date(c: Column) -> Column:

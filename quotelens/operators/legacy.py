@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
 from quotelens.functions.text import (
-    clean_cell, contains_any, from_end, numbers, strip, texts, to_double, to_long,
+    clean_cells, contains_any, from_end, numbers, strip, texts, to_double, to_long,
 )
 from quotelens.operators.items import ITEM_COLUMNS
 from quotelens.operators.layout import SHEET
@@ -164,7 +164,7 @@ def parse_upload(sheet_rows: DataFrame) -> DataFrame:
 
     Takes raw rows: blank rows count when the title is looked for.
     """
-    rows = sheet_rows.withColumn("cells", F.transform("cells", clean_cell)).filter(
+    rows = sheet_rows.withColumn("cells", clean_cells(F.col("cells"))).filter(
         contains_any(F.col("sheet"), V.UPLOAD_ITEM_SHEET_WORDS + V.UPLOAD_SUMMARY_SHEET_WORDS)
     )
     named = _with_unit_name(rows, 3, box_is_blank=False, box_start_ok=False)

@@ -10,10 +10,15 @@ from quotelens.operators.master import issue_ids
 from quotelens.operators.normalize import enrich_items
 from quotelens.operators.pricing import master_source, standard_price, trusted
 from quotelens.plans.checkpoints import scratch_path
+from quotelens.sources.tables import read_spread
+
+
+LARGE = {"lineitem", "orders", "documents", "pages", "embeddings"}
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_spread(spark, path) if name in LARGE else spark.read.parquet(path)
 
 
 def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
