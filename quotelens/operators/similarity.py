@@ -90,58 +90,60 @@ def _partial_scores(grams: DataFrame, index: TextIndex) -> DataFrame:
     )
 
 
-def _floor(partial: DataFrame, n: int, min_similarity: float) -> DataFrame:
-    """Per query: the n-th best partial score, which no result can fall below."""
-    best_first = Window.partitionBy("query").orderBy(F.desc("dot"))
+def _full_scores(pairs: DataFrame, grams: DataFrame, index: TextIndex) -> DataFrame:
+    """Similarity of given (query, item) pairs over all their grams."""
     return (
-        partial.select("query", "dot")
-        .withColumn("__n", F.row_number().over(best_first))
-        .filter(F.col("__n") <= n)
-        .groupBy("query")
-        .agg(F.max(F.when(F.col("__n") == n, F.col("dot"))).alias("dot"))
-        .select("query", F.greatest(F.coalesce("dot", F.lit(0.0)), F.lit(min_similarity)).alias("floor"))
+        pairs.join(grams.select("query", "gram", F.col("weight").alias("wq")), "query")
+        .join(index.postings, ["item_id", "gram"])
+        .groupBy("query", "item_id")
+        .agg(F.round(F.sum(F.col("wq") * F.col("weight")), _DIGITS).alias("similarity"))
+    )
+
+
+def _floors(partial: DataFrame, grams: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
+    """Per query a similarity that its n best items reach: that of n promising items, in full."""
+    best_first = Window.partitionBy("query").orderBy(F.desc("dot"), "item_id")
+    promising = (
+        partial.withColumn("__n", F.row_number().over(best_first)).filter(F.col("__n") <= n).select("query", "item_id")
     )
+    reached = _full_scores(promising, grams, index).groupBy("query").agg(
+        F.when(F.count(F.lit(1)) == n, F.min("similarity")).alias("reached")
+    )
+    floor = F.greatest(F.coalesce("reached", F.lit(0.0)), F.lit(min_similarity)) - _SLACK
+    return grams.select("query").distinct().join(reached, "query", "left").select("query", floor.alias("floor"))
 
 
 def search_text_index(queries: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
     """Top n items per query with similarity above min_similarity.
 
-    Exact, without scoring every item that shares any gram. Weights are positive, so a dot
-    product over some grams is a lower bound, and by Cauchy-Schwarz the grams not looked at
-    add at most (query weight left * item weight left)^0.5. Rare grams are probed first;
-    common ones only while an unseen item could still reach the n-th best score. Pairs whose
-    bound stays below it are dropped before the full score is computed.
+    Exact, without scoring every item that shares any gram. Weights are positive, so the
+    score over some grams is a lower bound, and by Cauchy-Schwarz the grams not looked at
+    add at most (query weight left * item weight left)^0.5. The rarest grams are probed
+    first; scoring their n best items in full gives a floor. Commoner grams are probed only
+    while an item not met so far could still reach the floor, and items whose bound stays
+    below it are dropped before they are scored in full.
     """
     grams = written(_query_grams(queries, index), "query-grams")
     first = written(_partial_scores(grams.filter(F.col("left") > _FIRST_PROBE), index), "first-probe")
-    floors = _floor(first, n, min_similarity)
-    limits = grams.select("query").distinct().join(floors, "query", "left").select(
-        "query", (F.coalesce("floor", F.lit(min_similarity)) - _SLACK).alias("floor")
-    )
+    floors = written(_floors(first, grams, index, n, min_similarity), "floors")
     needed = F.col("left") >= F.col("floor") * F.col("floor")
-    more = grams.filter(F.col("left") <= _FIRST_PROBE).join(limits, "query").filter(needed)
+    later = grams.filter(F.col("left") <= _FIRST_PROBE).join(floors, "query")
     partial = (
-        first.unionByName(_partial_scores(more, index))
+        first.unionByName(_partial_scores(later.filter(needed), index))
         .groupBy("query", "item_id")
         .agg(F.sum("dot").alias("dot"), F.sum("covered").alias("covered"))
     )
     # Squared query weight that neither probe looked at.
-    unseen = grams.join(limits, "query").groupBy("query", "floor").agg(
-        F.coalesce(
-            F.max(F.when((F.col("left") <= _FIRST_PROBE) & ~needed, F.col("left"))), F.lit(0.0)
-        ).alias("unseen")
-    )
-    reach = F.col("dot") + F.sqrt(F.col("unseen") * F.greatest(F.lit(1.0) - F.col("covered"), F.lit(0.0)))
-    pairs = partial.join(unseen, "query").filter(reach >= F.col("floor")).select("query", "item_id")
-    scored = (
-        pairs.join(grams.select("query", "gram", F.col("weight").alias("wq")), "query")
-        .join(index.postings, ["item_id", "gram"])
-        .groupBy("query", "item_id")
-        .agg(F.round(F.sum(F.col("wq") * F.col("weight")), _DIGITS).alias("similarity"))
+    unseen = later.filter(~needed).groupBy("query").agg(F.max("left").alias("unseen"))
+    limits = floors.join(unseen, "query", "left")
+    reach = F.col("dot") + F.sqrt(
+        F.coalesce("unseen", F.lit(0.0)) * F.greatest(F.lit(1.0) - F.col("covered"), F.lit(0.0))
     )
+    pairs = partial.join(limits, "query").filter(reach >= F.col("floor")).select("query", "item_id")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "item_id")
     return (
-        scored.withColumn("rank", F.row_number().over(best))
+        _full_scores(pairs, grams, index)
+        .withColumn("rank", F.row_number().over(best))
         .filter((F.col("rank") <= n) & (F.col("similarity") > min_similarity))
         .select("query", "item_id", "similarity", "rank")
     )
