@@ -37,12 +37,13 @@ def unit_name_assembly(cells: Column) -> Column:
 def sheet_heads(rows: DataFrame, words: list[str], min_hits: int, title: Column, title_rows: int) -> DataFrame:
     """One row per sheet: unit name, header row number and header cells.
 
-    A single aggregate with map-side combine; only short strings reach the shuffle.
+    Only top rows and header rows enter the aggregate, which is combined on the map side.
     """
     is_header = header_hits(F.col("cells"), words) >= min_hits
     header = F.min(F.when(is_header, F.struct("row_idx", "cells")))
     return (
-        rows.groupBy(*SHEET)
+        rows.filter((F.col("row_idx") < title_rows) | is_header)
+        .groupBy(*SHEET)
         .agg(
             _row_value(F.when(F.col("row_idx") < title_rows, title)).alias("title"),
             F.max("sheet").alias("sheet"),
