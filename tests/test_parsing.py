@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from quotelens import schemas
 from quotelens.operators import headers as H
