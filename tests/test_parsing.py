@@ -41,6 +41,12 @@ def test_standard_workbook(spark):
     assert (got["와셔"]["unit_price"], got["와셔"]["amount"], got["와셔"]["quantity"]) == (7, 7, None)
 
 
+def test_zero_total_gives_way_to_a_later_one(spark):
+    for rows, want in (([["총금액", "0"]], 0), ([["총금액", "0"], ["총금액", "5"]], 5), ([["총금액", "-"]], None)):
+        sheet = L.clean_rows(_sheets(spark, [("갑지", rows)]))
+        assert H.header_standard(sheet).head()["total_amount"] == want
+
+
 def test_price_in_first_column_counts_as_unmapped(spark):
     sheet = ("ASSY", [["단가", "품명", "규격"], ["100", "볼트", "x"]])
     assert I.parse_standard(L.clean_rows(_sheets(spark, [sheet]))).count() == 0
