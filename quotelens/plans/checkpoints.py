@@ -1,37 +1,34 @@
-"""Shared-folder checkpoints: the only way lineage is cut in this library."""
+"""Tables stored in the shared folder: the only way lineage is cut in this library."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-# Folders made for local sessions that name none, by application.
-_LOCAL: dict[str, str] = {}
+# Paths of stored tables that still exist, newest last.
+_STORED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir.
+    """Folder named by spark.checkpoint.dir or by SparkContext.setCheckpointDir.
 
-    On a cluster the setting must exist, because a machine-local folder is lost with
-    its executor. Only a local master gets a temporary folder of its own.
+    There is no fallback: a machine-local folder is lost with its executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL:
-        _LOCAL[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL[application]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; `release` deletes what is there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -41,3 +38,31 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables stored since the first `keep`; frames that read them end with them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_STORED) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop everything stored inside the block when it ends; consume results inside it."""
+    before = len(_STORED)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _STORED else None
+    if spark is not None:
+        release(spark)
+
+
+atexit.register(_at_exit)
