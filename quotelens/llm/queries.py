@@ -14,6 +14,8 @@ from quotelens.llm.packing import pack
 from quotelens.llm.secrets import find_secrets
 from quotelens.llm.sharding import byte_shards
 from quotelens.llm.simhash import near_groups
+from quotelens.llm.substrings import remove_shared_words
+from quotelens.llm.suffixes import remove_repeated_bytes
 from quotelens.llm.topk import top_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+@_query("op3_shared_words")
+def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_shared_words(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256"
+    )
+
+
 @_query("op4_source_mix", r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -198,3 +207,10 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_length_buckets")
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"
+    )
