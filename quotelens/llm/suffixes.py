@@ -8,80 +8,89 @@ from pyspark.sql import DataFrame
 from quotelens.llm.windows import Scheme, remove_covered
 
 WINDOW = 100
-GRAM = 24
+GRAM = 40
 STEP = 8
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `depth` codes or more, and the common prefix with the one before.
+def suffix_order(codes: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at `at`, sorted by their first `depth` codes, and the common prefix with the one before.
 
-    Prefix doubling: ranks by 1, 2, 4, ... codes, each from pairs of the ranks before. The same
-    ranks then give common prefixes of neighbours by halving steps.
+    Every suffix asked for must be `depth` codes long. Prefix doubling: classes by 1, 2, 4, ...
+    codes, each from pairs of the classes before; two overlapping classes give the last order.
+    The same classes then give common prefixes of neighbours by halving steps.
     """
     n = len(codes)
-    levels = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+    levels = [np.concatenate([codes, np.zeros(depth, dtype=np.int64)])]
     span = 1
-    while span < depth:
-        rank = levels[-1]
-        second = np.zeros(n, dtype=np.int64)
-        second[:max(n - span, 0)] = rank[span:] + 1
-        levels.append(np.unique(rank * (n + 1) + second, return_inverse=True)[1].astype(np.int64))
+    while span * 2 <= depth:
+        now = levels[-1]
+        after = np.concatenate([now[span:], np.zeros(span, dtype=np.int64)])
+        pairs = now * (int(now.max()) + 1) + after
+        # Classes of two codes still fit; longer ones are numbered in order.
+        levels.append(pairs if span == 1 and int(codes.max()) < 1 << 15 else np.unique(pairs, return_inverse=True)[1])
         span *= 2
-    order = np.argsort(levels[-1], kind="stable")
+    order = at[np.lexsort((levels[-1][at + depth - span], levels[-1][at]))]
     left, right = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n, dtype=np.int64)
+    common = np.zeros(len(order), dtype=np.int64)
     for level in range(len(levels) - 1, -1, -1):
-        inside = (left < n) & (right < n)
-        same = np.zeros(n - 1, dtype=bool)
-        same[inside] = levels[level][left[inside]] == levels[level][right[inside]]
-        step = same * (1 << level)
+        inside = np.maximum(left, right) < n
+        step = (levels[level][np.minimum(left, n)] == levels[level][np.minimum(right, n)]) * inside * (1 << level)
         common[1:] += step
         left += step
         right += step
     return order, common
 
 
-def longest_previous_factor(order: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Per suffix, the longest prefix it shares with one of a smaller place.
+def longest_previous_factor(common: np.ndarray, place: np.ndarray, least: int = 1) -> np.ndarray:
+    """Per suffix in suffix order, the longest prefix it shares with one of a smaller place, 0 if below `least`.
 
     The candidates are the nearest smaller places before and after it in suffix order; a stack
-    finds them, carrying the least common prefix passed on the way.
+    finds them, carrying the least common prefix passed on the way. Suffixes that share less than
+    `least` with both neighbours are passed over.
     """
-    out = np.zeros(len(order), dtype=np.int64)
-    for step in (1, -1):
-        suffixes = order[::step].tolist()
-        # Common prefix with the suffix that was passed before.
-        shared = (common if step == 1 else np.concatenate([[0], common[:0:-1]])).tolist()
-        places = place[order[::step]].tolist()
+    out = np.zeros(len(common), dtype=np.int64)
+    joined = common >= least
+    taken = np.flatnonzero(joined | np.concatenate([joined[1:], [False]]))
+    shared_up = np.where(joined, common, 0)[taken]
+    shared_down = np.concatenate([shared_up[1:], np.zeros(min(len(taken), 1), dtype=np.int64)])
+    for rows, shared in ((taken, shared_up), (taken[::-1], shared_down[::-1])):
         stack: list[tuple[int, int]] = []  # (place, least common prefix with the entry below)
-        best = [0] * len(suffixes)
-        for i, (at, now) in enumerate(zip(places, shared, strict=True)):
+        best = []
+        for now, at in zip(shared.tolist(), place[rows].tolist(), strict=True):
+            if not now:
+                stack.clear()
             while stack and stack[-1][0] >= at:
                 now = min(now, stack.pop()[1])
-            best[i] = now if stack else 0
+            best.append(now if stack else 0)
             stack.append((at, now))
-        out[order[::step]] = np.maximum(out[order[::step]], best)
+        out[rows] = np.maximum(out[rows], best)
     return out
 
 
 def judge(rows: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
     """Windows of each row that also start at an earlier place: smaller (rank, row key, start)."""
-    lengths = np.array([len(content) for *_, content in rows])
+    lengths = np.array([len(content) for *_, content in rows], dtype=np.int64)
     if not len(lengths):
         return []
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    codes = np.zeros(int((lengths + 1).sum()), dtype=np.int64)
-    place = np.zeros(len(codes), dtype=np.int64)
+    ends = np.cumsum(lengths + 1)
+    starts = ends - lengths - 1
+    # A code of its own ends every row.
+    codes = np.empty(int(ends[-1]), dtype=np.int64)
+    inside = np.ones(len(codes), dtype=bool)
+    inside[ends - 1] = False
+    codes[inside] = np.frombuffer(b"".join(content for *_, content in rows), dtype=np.uint8)
+    codes[ends - 1] = 256 + np.arange(len(rows))
     documents = {d: i for i, d in enumerate(sorted({(rank, key) for rank, key, *_ in rows}))}
-    for i, (rank, key, start, content) in enumerate(rows):
-        a, b = starts[i], starts[i] + lengths[i]
-        codes[a:b] = np.frombuffer(content, dtype=np.uint8)
-        codes[b] = 256 + i  # ends every row by a code of its own
-        place[a:b + 1] = (documents[rank, key] << 32) + start + np.arange(lengths[i] + 1)
-    order, common = suffix_order(codes, WINDOW)
-    longest = longest_previous_factor(order, common, place)
-    return [longest[a:a + n - WINDOW + 1] >= WINDOW for a, n in zip(starts, lengths, strict=True)]
+    shift = np.array([(documents[rank, key] << 32) + start for rank, key, start, _ in rows], dtype=np.int64) - starts
+    windows = lengths - WINDOW + 1
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    place = np.zeros(len(codes), dtype=np.int64)
+    place[at] = at + np.repeat(shift, windows)
+    order, common = suffix_order(codes, at, WINDOW)
+    longest = np.zeros(len(codes), dtype=np.int64)
+    longest[order] = longest_previous_factor(common, place[order], WINDOW)
+    return [longest[a:a + n] >= WINDOW for a, n in zip(starts, windows, strict=True)]
 
 
 def _parts(data: bytes, codes: np.ndarray) -> np.ndarray:

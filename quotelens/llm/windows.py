@@ -32,7 +32,7 @@ PIECE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 # Segments of one anchor that one shard compares; beyond it, its windows are dealt out one by one.
 SHARD_SEGMENTS = 4096
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(16)], dtype=np.uint64)
 _BASE = 0x9DDFEA08EB382D69
 
 Judge = Callable[[list[tuple[int, int, int, bytes]]], list[np.ndarray]]
@@ -101,7 +101,7 @@ def segments(scheme: Scheme, tokens: object, powers: tuple[np.ndarray, np.ndarra
         for i in range(terms):
             grams += parts[i * scheme.step:i * scheme.step + n_grams] * _ODD[i]
         grams ^= grams >> np.uint64(32)
-        grams *= _ODD[3]
+        grams *= _ODD[-1]
         grams ^= grams >> np.uint64(29)
         keys = (grams & ~PLACE) | np.arange(n_grams, dtype=np.uint64)
         least = smallest_in_windows(keys, scheme.window - scheme.gram + 1)
