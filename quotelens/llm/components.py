@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     label of that label, so paths halve. Labels have one row per node; joins that meet a hub or
     a frequent label can be split, and the minimum per node is combined before the shuffle.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = written(links.where("a <> b").select(ways.alias("way")).select("way.*").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("near")).select(
         F.col("a").alias("node"), F.least("a", "near").alias("label"), F.lit(True).alias("moved")
     ), "labels")
