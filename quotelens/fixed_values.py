@@ -7,8 +7,6 @@ each is stated as plain text and is never derived.
 # limits
 MIN_AMOUNT = 1000
 MIN_CONFIDENCE = 0.70
-MAX_SHEET_ROWS = 600
-MAX_SHEET_ROWS_LEGACY = 500
 ANOMALY_PERCENT = 15
 DEFAULT_DISCOUNT = 23.8
 DEFAULT_CATEGORY = "설비"

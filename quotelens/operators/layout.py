@@ -12,14 +12,10 @@ from quotelens.functions.text import clean_cells, contains_any, is_blank_cell, s
 SHEET = ["file_id", "sheet_idx"]
 
 
-def clean_rows(sheet_rows: DataFrame, max_rows: int | None = V.MAX_SHEET_ROWS) -> DataFrame:
-    """Trimmed cells, no blank rows, rows numbered from 0 per sheet in `row_idx`.
-
-    max_rows is the reader's limit on raw rows per sheet, so a sheet is a small group.
-    """
-    rows = sheet_rows if max_rows is None else sheet_rows.filter(F.col("row_idx") < max_rows)
+def clean_rows(sheet_rows: DataFrame) -> DataFrame:
+    """Trimmed cells, no blank rows, rows numbered from 0 per sheet in `row_idx`; every row counts."""
     # Tested on the raw cells: a filter on cleaned cells would clean every row twice.
-    kept = rows.filter(F.exists("cells", lambda c: ~is_blank_cell(c)))
+    kept = sheet_rows.filter(F.exists("cells", lambda c: ~is_blank_cell(c)))
     cleaned = kept.withColumn("cells", clean_cells(F.col("cells")))
     order = Window.partitionBy(*SHEET).orderBy("row_idx")
     return cleaned.withColumn("row_idx", F.row_number().over(order) - 1)

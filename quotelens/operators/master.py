@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
 from quotelens.functions.text import padded_id
+from quotelens.plans.checkpoints import written
 from quotelens.plans.ranking import first_per_key, with_running_number
 
 KEYS = ["item_name", "spec", "unit"]
@@ -51,15 +52,17 @@ def sync_master(source: DataFrame, master: DataFrame, now: Column | None = None)
     """
     now = F.current_timestamp() if now is None else now
     fresh = source.select(*KEYS, F.lit(True).alias("__fresh"), *[F.col(c).alias(f"__{c}") for c in PRICES])
-    merged = master.join(fresh, KEYS, "left")
+    # Source and master are each evaluated once; both branches read what is stored here.
+    joined = written(master.withColumn("__stored", F.lit(True)).join(fresh, KEYS, "full"), "sync")
+    merged = joined.filter("__stored")
     take = F.col("__fresh").isNotNull() & ~F.col("manually_reviewed")
     kept = merged.withColumns({
         **{c: F.when(take, F.col(f"__{c}")).otherwise(F.col(c)) for c in PRICES},
         "updated_at": F.when(take, now).otherwise(F.col("updated_at")),
     }).select(*MASTER_COLUMNS)
 
-    unknown = source.join(master.select(*KEYS), KEYS, "left_anti")
-    added = issue_ids(unknown, next_id_start(master), "SP-", 5, KEYS).select(
+    unknown = joined.filter("__stored IS NULL").select(*KEYS, *[F.col(f"__{c}").alias(c) for c in PRICES])
+    added = issue_ids(unknown, next_id_start(merged), "SP-", 5, KEYS).select(
         "item_id", *KEYS, *PRICES,
         F.lit(False).alias("manually_reviewed"), F.lit("").alias("review_note"),
         now.alias("created_at"), now.alias("updated_at"),

@@ -51,18 +51,6 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def append_log(files: DataFrame, status: Column, message: Column, item_count: Column, now: Column, path: str) -> None:
-    append_table(log_rows(files, status, message, item_count, now), path)
-
-
-def log_rows(files: DataFrame, status: Column, message: Column, item_count: Column, now: Column) -> DataFrame:
-    """Parse-log rows for a set of files."""
-    return files.select(
-        "file_path", status.alias("status"), F.substring(message, 1, 200).alias("message"),
-        item_count.cast("int").alias("item_count"), now.alias("created_at"),
-    )
-
-
 def review_records(review: DataFrame, source_file: str, today: Column) -> DataFrame:
     """Confirmed review lines as stored records, stamped with date and source file."""
     def number(name: str, kind: str) -> Column:

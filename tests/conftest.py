@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from workload.session import ensure_shared_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,5 +19,6 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(session)
     yield session
     session.stop()

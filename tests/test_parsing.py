@@ -86,9 +86,12 @@ def test_layouts_and_lock(spark):
     assert [r["file_id"] for r in L.locked_files(L.clean_rows(df)).collect()] == ["kw"]
 
 
-def test_row_limit_is_the_readers(spark):
+def test_long_sheets_keep_every_row(spark):
     df = spark.range(700).selectExpr("'f' file_id", "'f' file_name", "0 sheet_idx", "'s' sheet", "int(id) row_idx", "array(string(id)) cells")
-    assert L.clean_rows(df).count() == 600 and L.clean_rows(df, None).count() == 700
+    assert L.clean_rows(df).count() == 700
+    lines = [[f"볼트{i}", "M3", "EA", "2", "1000", "2000", "THK"] for i in range(1000)]
+    sheet = ("ASSY", [["품명", "규격", "단위", "수량", "단가", "금액", "메이커"], *lines])
+    assert I.parse_standard(L.clean_rows(_sheets(spark, [sheet]))).count() == 1000
 
 
 def test_positional_layouts(spark):

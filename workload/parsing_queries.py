@@ -46,7 +46,7 @@ def src_rows_clean(spark, sf):
         F.col("doc_id").alias("file_id"), F.lit(0).alias("sheet_idx"),
         F.posexplode(F.split("text", "\n")).alias("row_idx", "line"),
     ).withColumn("cells", F.split("line", ","))
-    cleaned = L.clean_rows(rows.drop("line"), max_rows=None)
+    cleaned = L.clean_rows(rows.drop("line"))
     return cleaned.select(F.col("file_id").alias("doc_id"), "row_idx", F.concat_ws("|", "cells").alias("cells"))
 
 
@@ -144,7 +144,7 @@ def win_first_hit(spark, sf):
     date = F.get(F.filter(F.transform(cells, parse_date), lambda d: d.isNotNull()), F.lit(0))
     number = F.get(F.filter(cells, lambda c: c.rlike(r"^Q-\d+$")), F.lit(0))
     # A workbook's own sheets are ordered before its rows.
-    ordered = rows.withColumn("row_idx", F.col("sheet_idx") * 1000 + F.col("row_idx"))
+    ordered = rows.withColumn("row_idx", F.struct("sheet_idx", "row_idx"))
     found = ordered.select("file_id", "row_idx", date.alias("d"), number.alias("q")).groupBy("file_id").agg(
         H.first_hit(F.col("d")).alias("quote_date"), H.first_hit(F.col("q")).alias("quote_no")
     )
