@@ -132,7 +132,7 @@ def _search(pairs: DataFrame, top: int) -> DataFrame:
                     of = (row["dim"], row["shard"])
                     tree = BallTree(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["data"], "<i8").reshape(-1, row["dim"]))
                 queries = np.frombuffer(row["q_data"], "<i8").reshape(-1, row["dim"])
-                floors = row["floors"] or {}
+                floors = dict(row["floors"] or ())
                 bounds = tree.bounds(queries)
                 for i, query_id in enumerate(np.frombuffer(row["q_ids"], "<i8").tolist()):
                     hits = tree.best(query_id, queries[i], bounds[i], top, floors.get(query_id))
