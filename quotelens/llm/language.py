@@ -60,8 +60,14 @@ class LanguageModel:
         return out
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Normalised presence kernels k(s, t) = |S & T| / sqrt(|S| |T|); rows are ordered by chance.
+def _unit_rows(packed: list[bytes]) -> np.ndarray:
+    """Presence rows of length 1."""
+    bits = np.unpackbits(np.frombuffer(b"".join(packed), dtype=np.uint8)).reshape(-1, SLOTS).astype(np.float32)
+    return bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+
+
+def fit(packed: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Normalised presence kernels k(s, t) = |S & T| / sqrt(|S| |T|) of packed presence rows, ordered by chance.
 
     Landmarks are dealt from the labels in turn. Nyström features are k(x, landmarks) times the
     inverse root of the landmark kernel; a ridge regression per label maps them to 0 and 1.
@@ -73,12 +79,13 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
         turn[lang] = turn.get(lang, -1) + 1
         ranks.append((turn[lang], lang, i))
     chosen = [i for _, _, i in sorted(ranks)[:landmarks]]
-    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    marks = unit[chosen]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = _unit_rows([packed[i] for i in chosen])
+    # Rows are unpacked a block at a time; the kernel against the landmarks is all that stays.
+    kernel = np.concatenate([_unit_rows(packed[i:i + 128]) @ marks.T for i in range(0, len(packed), 128)])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = unit @ marks.T @ root
+    features = kernel @ root
     goal = np.array([[float(lang == label) for label in labels] for lang in langs])
     dual = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ goal)
     return LanguageModel(labels, (marks.T @ (root @ dual)).astype(np.float64))
@@ -131,8 +138,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     if not found:
         return None
     found.sort(key=lambda r: (r["turn"], r["lang"], bytes(r["bits"])))
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in found), dtype=np.uint8)).reshape(-1, SLOTS)
-    return fit(bits.astype(np.float32), [r["lang"] for r in found])
+    return fit([bytes(r["bits"]) for r in found], [r["lang"] for r in found])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, carry: bool = False) -> DataFrame:
