@@ -22,6 +22,8 @@ TRAIN_ROWS = 1600
 LANDMARKS = 128
 RIDGE = 0.1
 LEAST_SCORE = 0.3
+# Texts scored at once: at most 64 x 65,536 slots, whatever their length.
+BATCH = 64
 UNKNOWN = "und"
 
 
@@ -48,7 +50,11 @@ class LanguageModel:
     weights: np.ndarray
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Kernel values against all landmarks times their weights, as one sparse matrix product."""
+        """Kernel values against all landmarks times their weights, as sparse matrix products of BATCH texts."""
+        parts = [self._product(texts[i:i + BATCH]) for i in range(0, len(texts), BATCH)]
+        return np.concatenate([np.zeros((0, len(self.labels))), *parts])
+
+    def _product(self, texts: list[bytes]) -> np.ndarray:
         slots = [presence(t) for t in texts]
         sizes = np.array([len(s) for s in slots])
         out = np.zeros((len(texts), len(self.labels)))
