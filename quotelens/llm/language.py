@@ -21,7 +21,7 @@ SLOTS = 1 << SLOT_BITS
 TRAIN_ROWS = 1600
 LANDMARKS = 128
 RIDGE = 0.1
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.05
 # Texts scored at once: at most 64 x 65,536 slots, whatever their length.
 BATCH = 64
 UNKNOWN = "und"
