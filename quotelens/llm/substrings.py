@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from quotelens.llm.windows import Scheme, remove_covered
 
 WINDOW = 13
-GRAM = 6
+GRAM = 4
 
 
 class SuffixAutomaton:
