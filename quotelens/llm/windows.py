@@ -222,6 +222,39 @@ def _kept_segments(pending: DataFrame, scheme: Scheme) -> DataFrame:
     return pending.select("rank", "row_key", "text", "anchors").mapInArrow(run, schema)
 
 
+def _first_places(found: DataFrame) -> DataFrame:
+    """(anchor, rank, row_key, start, count, covered): segments that an earlier rank holds too are covered.
+
+    One pass over rows sorted by segment and rank: the first row of a segment is its earliest. A
+    segment comes once from every batch that holds it, so a hot passage is some rows a batch, and
+    a task keeps one rank. What a batch covered already is dealt out by place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        first_rank = 0
+        for batch in batches:
+            covered = batch.column("covered").to_numpy(zero_copy_only=False).copy()
+            asked = ~covered
+            anchor, content, rank = (batch.column(c).to_numpy()[asked] for c in ("anchor", "content", "rank"))
+            if len(anchor):
+                fresh = np.ones(len(anchor), dtype=bool)
+                fresh[0] = last != (anchor[0], content[0])
+                fresh[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+                head = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), -1))
+                first = np.where(head < 0, first_rank, rank[head])
+                covered[asked] = rank > first
+                last, first_rank = (anchor[-1], content[-1]), first[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("anchor", "rank", "row_key", "start", "count")], pa.array(covered)],
+                names=["anchor", "rank", "row_key", "start", "count", "covered"],
+            )
+
+    route = F.when(F.col("covered"), F.xxhash64("row_key", "start")).otherwise(F.xxhash64("anchor", "content"))
+    schema = "anchor bigint, rank bigint, row_key bigint, start bigint, count int, covered boolean"
+    return found.repartition(route).sortWithinPartitions("anchor", "content", "rank").mapInArrow(run, schema)
+
+
 def _shard_rows(pending: DataFrame, checks: DataFrame, scheme: Scheme) -> DataFrame:
     """Contents of the segments to compare, routed by anchor, or window by window where an anchor has too many.
 
@@ -308,14 +341,7 @@ def covered_windows(texts: DataFrame, scheme: Scheme, judge: Judge) -> tuple[Dat
     ranked = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "row_key", "text")
     anchors = repeated_anchors(ranked, scheme).groupBy("rank").agg(F.collect_list("anchor").alias("anchors"))
     pending = written(ranked.join(anchors, "rank"), "pending")
-    found = _kept_segments(pending, scheme)
-    heads = written(found.where("not covered").groupBy("anchor", "content").agg(F.min("rank").alias("first")), "heads")
-    met = found.where("not covered").join(heads, ["anchor", "content"]).select(
-        "anchor", "rank", "row_key", "start", "count", (F.col("rank") > F.col("first")).alias("covered")
-    )
-    marks = written(
-        met.unionByName(found.where("covered").select("anchor", "rank", "row_key", "start", "count", "covered")), "marks"
-    )
+    marks = written(_first_places(_kept_segments(pending, scheme)), "marks")
     firsts = marks.where("not covered")
     several = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     checks = firsts.join(several, "anchor").select(

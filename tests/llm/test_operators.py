@@ -90,6 +90,23 @@ def test_shared_words_and_repeated_bytes(docs, rows):
         assert all(sum(s["stop"] - s["start"] for s in r["removed"]) == r["n_removed"] for r in got)
 
 
+def test_repeats_are_found_across_arrow_batches(spark, docs, rows):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        for run, tokens, width, by_place in (
+            (substrings.remove_shared_words, lambda t: t.encode().split(), 13, False),
+            (suffixes.remove_repeated_bytes, lambda t: t.encode(), 100, True),
+        ):
+            got = run(docs).collect()
+            assert {(-1 if r["doc_id"] is None else r["doc_id"]): r["n_removed"] for r in got} == _removed(
+                rows, tokens, width, by_place
+            )
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_suffix_array_and_automaton():
     text = np.frombuffer(b"banana$bandana#", dtype=np.uint8).astype(np.int64)
     at = np.arange(len(text) - 2)
