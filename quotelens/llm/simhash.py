@@ -18,9 +18,13 @@ SEGMENTS, WIDTH = 8, 8
 MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
+# Fingerprints of a text in `drop_near_copies`.
+FAMILIES = 12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 # Segments after the first two of a chain, of which the budgets of `chain_budgets` leave two equal.
 _EQUAL = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
+_KEYS = SEGMENTS * len(_EQUAL)
 
 
 def chain_budgets(max_bits: int = MAX_BITS) -> list[int]:
@@ -28,11 +32,15 @@ def chain_budgets(max_bits: int = MAX_BITS) -> list[int]:
     return [n * max_bits // SEGMENTS for n in range(1, SEGMENTS + 1)]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits over the XXH64 of all word shingles, repeats included; 0 without words."""
+def text_prints(text: bytes, shingle: int = SHINGLE, families: int = 1) -> np.ndarray:
+    """Majority bits over the XXH64 of all word shingles, repeats included; 0 without words.
+
+    The first value is the fingerprint proper. Further families count the bits of the same hashes
+    after a mixing step of their own, so each is an independent draw over the same shingles.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(families, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
@@ -44,30 +52,39 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
             (digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=False)),
             dtype=np.uint64, count=len(words) - shingle + 1,
         )
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    value = 0
-    for i in range(8):
-        ones = np.bincount(octets[:, i], minlength=256) @ _BIT_OF_BYTE
-        value |= int(np.sum((2 * ones > len(hashes)) << np.arange(8))) << 8 * i
-    return value
+    values = np.zeros(families, dtype=np.uint64)
+    for family in range(families):
+        octets = _mixed(hashes, family).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BIT_OF_BYTE for i in range(8)])
+        values[family] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+    return values
+
+
+def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    if not family:
+        return hashes
+    mixed = (hashes ^ np.uint64(family)) * _ODD
+    mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD
+    return mixed ^ mixed >> np.uint64(29)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, fp) of whole texts; bytes.lower and bytes.split are the ASCII rules asked for."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, families: int = 1) -> DataFrame:
+    """(doc_id, row_key, fps) of whole texts; bytes.lower and bytes.split are the ASCII rules asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            fps = [text_prints(t, shingle, families).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(fps)], names=["doc_id", "row_key", "fp"]
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(fps, pa.list_(pa.int64()))],
+                names=["doc_id", "row_key", "fps"],
             )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id bigint, row_key bigint, fp bigint")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id bigint, row_key bigint, fps array<bigint>")
 
 
-def _buckets(fp: Column) -> Column:
-    """All keys (start of chain, which of its segments are equal, their bits) of a fingerprint.
+def _buckets(fp: Column, family: Column) -> Column:
+    """All keys (family, start of chain, which of its segments are equal, their bits) of a fingerprint.
 
     With at most 3 bits over 8 segments on a ring, some chain keeps within its budgets 0, 0, 1,
     1, 1, ...: its first two segments are equal and so are two of the next three. So two linked
@@ -76,12 +93,12 @@ def _buckets(fp: Column) -> Column:
     keys = []
     for start in range(SEGMENTS):
         for kind, offsets in enumerate(_EQUAL):
-            bits = F.lit(start * len(_EQUAL) + kind).cast("bigint")
+            bits = (family * _KEYS + start * len(_EQUAL) + kind).cast("bigint")
             for offset in offsets:
                 part = F.shiftrightunsigned(fp, (start + offset) % SEGMENTS * WIDTH).bitwiseAND(F.lit(255))
                 bits = F.shiftleft(bits, 8).bitwiseOR(part)
             keys.append(bits)
-    return F.explode(F.array(*keys))
+    return F.array(*keys)
 
 
 def within_chain(differing: np.ndarray, start: int, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -92,17 +109,17 @@ def within_chain(differing: np.ndarray, start: int, max_bits: int = MAX_BITS) ->
 
 
 def link_bucket(values: np.ndarray, start: int, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links that connect what is linked inside one bucket of distinct fingerprints, not all its pairs.
+    """Links (places in `values`) that connect what is linked inside one bucket of distinct fingerprints.
 
     A search from one value to the next compares only with values not reached yet, so a dense
-    bucket costs about its size and yields one link per value.
+    bucket costs about its size and yields one link per value, not all its pairs.
     """
-    links, rest = [], values
+    links, rest = [], np.arange(len(values))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            differing = rest ^ at
+            differing = values[rest] ^ values[at]
             near = within_chain(differing, start, max_bits)
             near[near] = np.bitwise_count(differing[near]) <= max_bits
             links += [(int(at), int(x)) for x in rest[near]]
@@ -112,35 +129,41 @@ def link_bucket(values: np.ndarray, start: int, max_bits: int = MAX_BITS) -> lis
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by bucket; the last bucket of a batch waits for the next batch."""
-    names = ["a", "b"]
+    """Links (a, b) of nodes; batches come sorted by bucket, the last bucket of a batch waits for the next batch."""
 
-    def linked(buckets: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.diff(buckets)) + 1
-        edges = np.concatenate([[0], cuts, [len(buckets)]])
+    def linked(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        buckets, fps, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
         found: list[tuple[int, int]] = []
         for i in np.flatnonzero(np.diff(edges) > 1):
-            start = int(buckets[edges[i]] >> 32) // len(_EQUAL)
-            found += link_bucket(fps[edges[i]:edges[i + 1]], start)
-        pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+            low, start = edges[i], int(buckets[edges[i]] >> 32) % _KEYS // len(_EQUAL)
+            found += [(low + a, low + b) for a, b in link_bucket(fps[low:edges[i + 1]], start)]
+        pairs = nodes[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        buckets = batch.column("bucket").to_numpy()
-        fps = batch.column("fp").to_numpy().view(np.uint64)
-        if not len(buckets):
+        if not batch.num_rows:
             continue
-        tail = int(np.searchsorted(buckets, buckets[-1]))
-        if held and (tail or held[0][0][0] != buckets[-1]):
-            held.append((buckets[:tail], fps[:tail]))
-            yield linked(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        columns = [batch.column(c).to_numpy() for c in ("bucket", "fp", "node")]
+        columns[1] = columns[1].view(np.uint64)
+        last = columns[0][-1]
+        tail = int(np.searchsorted(columns[0], last))
+        if held and (tail or held[0][0][0] != last):
+            yield linked([*held, [c[:tail] for c in columns]])
             held = []
         elif tail:
-            yield linked(buckets[:tail], fps[:tail])
-        held.append((buckets[tail:], fps[tail:]))
+            yield linked([[c[:tail] for c in columns]])
+        held.append([c[tail:] for c in columns])
     if held:
-        yield linked(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        yield linked(held)
+
+
+def _links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes of (family, fp, node), one row per family and fingerprint."""
+    keys = F.explode(_buckets(F.col("fp"), F.col("family"))).alias("bucket")
+    buckets = prints.select("fp", "node", keys).repartition("bucket")
+    return buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -151,10 +174,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     and wordless texts have fingerprint 0, which links like any other. A null id is passed over
     in the minimum unless a component has no other. An empty table gives no rows.
     """
-    prints = written(fingerprints(keyed(docs), shingle), "prints")
+    found = fingerprints(keyed(docs), shingle)
+    prints = written(found.select("doc_id", "row_key", F.col("fps")[0].alias("fp")), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    buckets = nodes.select("fp", _buckets(F.col("fp")).alias("bucket")).repartition("bucket")
-    links = buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint")
+    links = _links(nodes.select(F.lit(0).alias("family"), "fp", F.col("fp").alias("node")))
     labels = written(components(links), "components")
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(
         "fp", "first_id", F.coalesce("label", "fp").alias("label")
@@ -164,7 +187,24 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows of `docs` whose id is the smallest of their component, with all their columns."""
-    groups = near_groups(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return attach(docs, groups.select("doc_id", "row_key").distinct()).select("row.*")
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, families: int = FAMILIES) -> DataFrame:
+    """Rows of `docs` whose id is the smallest of their component, with all their columns.
+
+    Texts are linked when their fingerprints of any family are at 3 or fewer differing bits: one
+    fingerprint alone misses most copies with a few changed words, as their bits differ by chance.
+    Texts with the same fingerprint are linked to the least of them, so only distinct ones meet.
+    Nulls, wordless texts, null ids and empty tables are as in `near_groups`.
+    """
+    prints = written(fingerprints(keyed(docs), shingle, families), "prints")
+    each = prints.select("row_key", F.posexplode("fps").alias("family", "fp"))
+    nodes = written(each.groupBy("family", "fp").agg(
+        F.min("row_key").alias("node"), (F.min("row_key") < F.max("row_key")).alias("shared")
+    ), "nodes")
+    shared = nodes.where("shared").select("family", "fp", F.col("node").alias("a"))
+    same = each.join(shared, ["family", "fp"]).select("a", F.col("row_key").alias("b"))
+    labels = written(components(_links(nodes).union(same)), "components")
+    members = prints.join(labels, prints["row_key"] == labels["node"]).select("doc_id", "row_key", "label")
+    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    later = members.join(least, "label").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = prints.select("doc_id", "row_key").distinct().join(later.select("row_key").distinct(), "row_key", "left_anti")
+    return attach(docs, kept).select("row.*")

@@ -186,6 +186,25 @@ def test_buckets_hold_every_link():
         assert any(simhash.link_bucket(np.array([value, other]), start) for start in range(8))
 
 
+def test_near_copies_keep_one_row_each(spark, docs, rows):
+    edited = [(900 + i, LONG.replace(f" w{40 * i}x ", " new "), "en", "s", "k", 1, True) for i in range(1, 9)]
+    far = (990, " ".join(WORDS[::-1]), "en", "s", "k", 1, True)
+    table = spark.createDataFrame([*rows, *edited, far], SCHEMA)
+    kept = simhash.drop_near_copies(table)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    # 6, 7 and 8 are the long text (6 is there twice, as one row repeats); the least id stays.
+    assert not {7, 8, *range(901, 909)} & set(ids) and {0, 3, 5, 6, 9, 10, 11, 12, 13, 990} <= set(ids)
+    assert not {1, 2, 4} & set(ids) and None not in ids
+
+
+def test_first_family_is_the_fingerprint_and_families_differ():
+    text = LONG.encode()
+    values = simhash.text_prints(text, families=6)
+    assert values[0] == simhash.text_prints(text)[0] and len(set(values.tolist())) == 6
+    assert not simhash.text_prints(b" \t", families=6).any()
+
+
 def test_language_learns_from_its_share_only(spark):
     texts = {"en": "the house and the garden of the old man", "de": "das haus und der garten des alten mannes"}
     table = [(i, f"{texts[k]} {i}", k, "s") for i in range(60) for k in [("en", "de")[i % 2]]]
@@ -223,7 +242,7 @@ def test_secret_spans(docs, rows):
 
 def test_empty_tables_give_no_rows(empty):
     for run in (
-        exact.exact_groups, mixing.mix, sharding.byte_shards, simhash.near_groups, language.identify, packing.pack,
+        exact.exact_groups, simhash.drop_near_copies, mixing.mix, sharding.byte_shards, simhash.near_groups, language.identify, packing.pack,
         secrets.find_secrets, substrings.remove_shared_words, suffixes.remove_repeated_bytes,
     ):
         assert run(empty).count() == 0, run
