@@ -108,38 +108,44 @@ def within_chain(differing: np.ndarray, start: int, max_bits: int = MAX_BITS) ->
     return (ring <= np.array(chain_budgets(max_bits))).all(axis=1)
 
 
-def link_bucket(values: np.ndarray, start: int, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links (places in `values`) that connect what is linked inside one bucket of distinct fingerprints.
+def link_bucket(values: np.ndarray, start: int, max_bits: int = MAX_BITS) -> list[np.ndarray]:
+    """Groups (places in `values`) of two or more that links connect inside one bucket of distinct fingerprints.
 
     A search from one value to the next compares only with values not reached yet, so a dense
-    bucket costs about its size and yields one link per value, not all its pairs.
+    bucket costs about its size, not all its pairs.
     """
-    links, rest = [], np.arange(len(values))
+    groups, rest = [], np.arange(len(values))
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue, group, rest = [rest[0]], [rest[:1]], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
-            differing = values[rest] ^ values[at]
+            differing = values[rest] ^ values[queue.pop()]
             near = within_chain(differing, start, max_bits)
             near[near] = np.bitwise_count(differing[near]) <= max_bits
-            links += [(int(at), int(x)) for x in rest[near]]
-            queue += list(rest[near])
-            rest = rest[~near]
-    return links
+            if near.any():
+                group.append(rest[near])
+                queue += list(rest[near])
+                rest = rest[~near]
+        if len(group) > 1:
+            groups.append(np.concatenate(group))
+    return groups
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of nodes; batches come sorted by bucket, the last bucket of a batch waits for the next batch."""
+    """Links (least node of a group, another of it); batches come sorted by bucket, the last bucket waits for more."""
 
     def linked(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         buckets, fps, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
-        found: list[tuple[int, int]] = []
+        heads, tails = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for i in np.flatnonzero(np.diff(edges) > 1):
             low, start = edges[i], int(buckets[edges[i]] >> 32) % _KEYS // len(_EQUAL)
-            found += [(low + a, low + b) for a, b in link_bucket(fps[low:edges[i + 1]], start)]
-        pairs = nodes[np.array(found, dtype=np.int64).reshape(-1, 2)]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            for group in link_bucket(fps[low:edges[i + 1]], start):
+                members = np.sort(nodes[low + group])
+                heads.append(np.repeat(members[0], len(members) - 1))
+                tails.append(members[1:])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], names=["a", "b"]
+        )
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -166,6 +172,19 @@ def _links(prints: DataFrame) -> DataFrame:
     return buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint")
 
 
+def _hooked(links: DataFrame) -> DataFrame:
+    """The same connections in fewer links: a node keeps its least partner, and that one takes over the others.
+
+    A node has one link for each of its keys and fingerprints at most, 25 a family, so the sets are
+    bounded. In a large group the partners are a few least nodes, and the links taken over coincide.
+    """
+    least = links.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("partners"))
+    moved = F.transform("partners", lambda x, i: F.struct(
+        F.col("partners")[0].alias("a"), F.when(i == 0, F.col("b")).otherwise(x).alias("b")
+    ))
+    return least.select(F.explode(moved).alias("link")).select("link.*").distinct()
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs`: doc_id, row_key, fp, component_id.
 
@@ -202,7 +221,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, families: int = FA
     ), "nodes")
     shared = nodes.where("shared").select("family", "fp", F.col("node").alias("a"))
     same = each.join(shared, ["family", "fp"]).select("a", F.col("row_key").alias("b"))
-    labels = written(components(_links(nodes).union(same)), "components")
+    labels = written(components(_hooked(_links(nodes).union(same.where("a <> b")))), "components")
     members = prints.join(labels, prints["row_key"] == labels["node"]).select("doc_id", "row_key", "label")
     least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     later = members.join(least, "label").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
