@@ -246,3 +246,26 @@ def test_empty_tables_give_no_rows(empty):
         secrets.find_secrets, substrings.remove_shared_words, suffixes.remove_repeated_bytes,
     ):
         assert run(empty).count() == 0, run
+
+
+def test_near_copies_are_those_at_similarity_080(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(6):
+        base = [f"b{k}x{i}" for i in range(150)]
+        for edits in range(7):
+            for draw in range(4):
+                words = list(base)
+                for n, i in enumerate(rng.choice(np.arange(3, 147), edits, replace=False)):
+                    words[i] = f"e{k}x{edits}x{draw}x{n}"
+                texts[len(texts)] = " ".join(words)
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(146)} for i, t in texts.items()}
+    part = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                low, high = sorted((part[i], part[j]))
+                part = {x: low if p == high else p for x, p in part.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", "k", 1, True) for i, t in texts.items()], SCHEMA)
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    assert kept == set(part.values()) and 6 < len(kept) < len(texts)
