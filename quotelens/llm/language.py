@@ -100,12 +100,12 @@ def fit(packed: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(row_key, doc_id, lang, turn): per language an equal share of at most `rows` rows, by digest of the id.
 
-    Rows of documents whose crc32 of the id modulo 3 is 1, with null labels or with null texts are not used.
+    Rows that repeat id, text and label count once. Rows of documents whose crc32 of the id modulo 3 is 1, with null labels or with null texts are not used.
     """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     ).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "lang",
-             F.md5(F.col("doc_id").cast("string")).alias("turn"))
+             F.md5(F.col("doc_id").cast("string")).alias("turn")).distinct()
     languages = known.agg(F.count_distinct("lang")).first()[0]
     share = max(2, rows // max(languages, 1))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id", "row_key"))
@@ -119,7 +119,7 @@ def held_out(doc_id):
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     """Fit on at most `rows` labelled rows (two a language at least); None if there are none.
 
-    Only presence bits of the sample reach the driver: 8 KB a row.
+    Only presence bits of the sample reach the driver: 8 KB a row, however often a row is repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +140,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
     chosen = texts.join(F.broadcast(sample.withColumnRenamed("doc_id", "id")), "row_key").where(
         F.col("doc_id") == F.col("id")
     )
+    # Copies of a row are dropped in the map tasks, so a repeated one arrives as a few rows.
+    chosen = chosen.dropDuplicates(["id", "row_key", "lang"])
     found = chosen.select("text", "lang", "turn").mapInArrow(run, "lang string, turn string, bits binary").collect()
     if not found:
         return None

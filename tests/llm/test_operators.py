@@ -269,3 +269,16 @@ def test_near_copies_are_those_at_similarity_080(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", "k", 1, True) for i, t in texts.items()], SCHEMA)
     kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
     assert kept == set(part.values()) and 6 < len(kept) < len(texts)
+
+
+def test_repeated_rows_fill_the_training_sample_once(spark):
+    table = [(0, "the house and the garden", "en", "s")] * 300 + [(1, "das haus und der garten", "de", "s")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string")
+    fitted = []
+    seen = language.fit
+    language.fit = lambda packed, langs, *a, **k: fitted.append(langs) or seen(packed, langs, *a, **k)
+    try:
+        assert {r["lang_pred"] for r in language.identify(docs, rows=8).collect()} == {"en", "de"}
+    finally:
+        language.fit = seen
+    assert sorted(fitted[0]) == ["de", "en"]
