@@ -127,7 +127,10 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(rank, anchor): anchors of every document that occur again, in another document or place.
+    """(row_key, anchor): anchors of every document that occur again, in another document or place.
+
+    Documents go by row_key, not by id: rows with a null or repeated id are documents of their own,
+    and what is gathered for one never exceeds its windows. Copies of a row count once a batch.
 
     An anchor that repeats inside a batch is known at once and sent on straight to its documents,
     with one announcement; only the others travel to the task of their anchor.
@@ -136,13 +139,14 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
         for batch in batches:
-            ranks = batch.column("rank").to_numpy()
-            anchors, owners, twice = [], [], []
-            for i, data in enumerate(_texts(batch)):
+            keys, fresh = np.unique(batch.column("row_key").to_numpy(), return_index=True)
+            texts = _texts(batch)
+            anchors, owners, twice = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for key, data in zip(keys, (texts[i] for i in fresh), strict=True):
                 found = segments(scheme, scheme.units(data), powers)
                 own, times = np.unique(found.anchor, return_counts=True)
                 anchors.append(own)
-                owners.append(np.full(len(own), ranks[i]))
+                owners.append(np.full(len(own), key))
                 twice.append(times > 1 if scheme.by_place else np.zeros(len(own), dtype=bool))
             anchor, owner = np.concatenate(anchors), np.concatenate(owners)
             values, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
@@ -155,23 +159,23 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
             route = np.where(state == 1, owner, anchor.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route), _signed(anchor), pa.array(owner), pa.array(state)],
-                names=["route", "anchor", "rank", "state"],
+                names=["route", "anchor", "row_key", "state"],
             )
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by anchor; the last anchor of a batch waits for the next batch."""
 
         def known(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            anchor, rank, state = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            anchor, key, state = (np.concatenate([p[i] for p in parts]) for i in range(3))
             edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             sizes = np.diff(np.concatenate([edges, [len(anchor)]]))
             again = (sizes > 1) | (np.maximum.reduceat(state, edges) > 0) if len(edges) else np.zeros(0, bool)
             keep = np.repeat(again, sizes) & (state < 2)
-            return pa.RecordBatch.from_arrays([pa.array(rank[keep]), pa.array(anchor[keep])], names=["rank", "anchor"])
+            return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(anchor[keep])], names=["row_key", "anchor"])
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("anchor", "rank", "state"))
+            now = tuple(batch.column(c).to_numpy() for c in ("anchor", "row_key", "state"))
             if not len(now[0]):
                 continue
             cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -182,9 +186,9 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield known(held)
 
-    scanned = docs.mapInArrow(scan, "route bigint, anchor bigint, rank bigint, state tinyint")
-    dealt = scanned.repartition("route").select("anchor", "rank", "state").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(settle, "rank bigint, anchor bigint")
+    scanned = docs.select("row_key", "text").mapInArrow(scan, "route bigint, anchor bigint, row_key bigint, state tinyint")
+    dealt = scanned.repartition("route").select("anchor", "row_key", "state").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(settle, "row_key bigint, anchor bigint")
 
 
 def _kept_segments(pending: DataFrame, scheme: Scheme) -> DataFrame:
@@ -337,10 +341,11 @@ def _judged(rows: DataFrame, scheme: Scheme, judge: Judge) -> DataFrame:
 
 
 def covered_windows(texts: DataFrame, scheme: Scheme, judge: Judge) -> tuple[DataFrame, DataFrame]:
-    """(pending, covered): the documents with repeated anchors, and the covered windows of their rows."""
+    """(pending, covered): the documents with repeated anchors, one row each, and the covered windows of their rows."""
     ranked = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "row_key", "text")
-    anchors = repeated_anchors(ranked, scheme).groupBy("rank").agg(F.collect_list("anchor").alias("anchors"))
-    pending = written(ranked.join(anchors, "rank"), "pending")
+    # A row_key covers id and text; two documents that share one by chance would only keep each other's anchors.
+    anchors = repeated_anchors(ranked, scheme).groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
+    pending = written(ranked.join(anchors, "row_key").dropDuplicates(["row_key", "rank"]).select(*ranked.columns, "anchors"), "pending")
     marks = written(_first_places(_kept_segments(pending, scheme)), "marks")
     firsts = marks.where("not covered")
     several = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")

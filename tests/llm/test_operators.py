@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quotelens.llm import exact, language, mixing, packing, secrets, sharding, simhash, substrings, suffixes, topk
+from quotelens.llm import exact, language, mixing, packing, secrets, sharding, simhash, substrings, suffixes, topk, windows
+from quotelens.llm.rows import keyed
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, row_key string, size int, kept boolean"
 WORDS = [f"w{i}x" for i in range(400)]
@@ -282,3 +283,22 @@ def test_repeated_rows_fill_the_training_sample_once(spark):
     finally:
         language.fit = seen
     assert sorted(fitted[0]) == ["de", "en"]
+
+
+def test_rows_without_an_id_gather_only_their_own_anchors(spark):
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(40)]
+    rows = [(None, f"{p} a{k}", "en", "s", "k", 1, True) for k, p in enumerate(passages)]
+    rows += [(k, f"b{k} {p}", "en", "s", "k", 1, True) for k, p in enumerate(passages)]
+    docs = spark.createDataFrame([*rows, *rows[:1] * 20, *rows[40:41] * 20], SCHEMA)
+    for run, module, name, width, lengths in (
+        (substrings.remove_shared_words, substrings, "SCHEME", 13, lambda t: len(t.split())),
+        (suffixes.remove_repeated_bytes, suffixes, "SCHEME", 100, len),
+    ):
+        pending, _ = windows.covered_windows(keyed(docs), getattr(module, name), lambda places: [])
+        kept = pending.collect()
+        assert len(kept) == len({(r["rank"], r["row_key"]) for r in kept}) == 80
+        assert all(len(r["anchors"]) <= lengths(r["text"]) - width + 1 for r in kept)
+        got = run(docs).collect()
+        assert len(got) == 120
+        # A null id is the smallest, so its rows keep all and the others lose the passage.
+        assert all((r["n_removed"] > 0) == (r["doc_id"] is not None) for r in got)
