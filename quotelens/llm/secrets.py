@@ -84,14 +84,15 @@ def _joined(spans: Column) -> Column:
     )), ",")
 
 
-def find_secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS, wide_repos: int | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied.
 
     Base spans are matches of the three fixed patterns. Looser candidates (runs of 20 or more
     key characters with a letter and a digit, outside base spans) are added as kind `owned` when
     their value looks live: the digest of the value is counted over the whole corpus by distinct
-    owners (sources) and repositories (source and language), and fewer than `wide_owners` owners
-    hold it. n_live and n_copied count all spans by that rule. Null text is empty; a null source
+    owners (sources), and fewer than `wide_owners` hold it. With `wide_repos`, fewer than that many
+    repositories (source and language) must hold it too; without it repositories do not decide,
+    so a value copied inside one or two sources is live. n_live and n_copied count all spans by that rule. Null text is empty; a null source
     is an owner of its own. Spans of a document are gathered in its row, so they grow with the
     document only. Rows that repeat id and text get the same result.
     """
@@ -101,13 +102,16 @@ def find_secrets(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
     every = scanned.where(F.size("base") + F.size("other") > 0).select(
         "doc_id", "row_key", "owner", "repo", F.explode(F.concat("base", "other")).alias("span")
     ).select("doc_id", "row_key", "owner", "repo", "span", F.col("span.digest").alias("digest"))
-    pairs = every.groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("times"))
-    owners = pairs.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("times").alias("times"))
+    pairs = every.select("digest", "owner", "repo").distinct()
+    owners = pairs.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"))
     spread = written(owners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("times").alias("times")
+        F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")
     ), "spread")
+    live = F.col("owners") < wide_owners
+    if wide_repos is not None:
+        live &= F.col("repos") < wide_repos
     judged = every.join(spread, "digest").select(F.col("doc_id").alias("of_id"), F.col("row_key").alias("of_key"), F.struct(
-        "span.start", "span.kind", "span.stop", (F.col("owners") < wide_owners).alias("live")
+        "span.start", "span.kind", "span.stop", live.alias("live")
     ).alias("span"))
     per_row = judged.groupBy("of_id", "of_key").agg(F.collect_set("span").alias("judged"))
     out = scanned.select("doc_id", "row_key", "base").join(

@@ -302,3 +302,14 @@ def test_rows_without_an_id_gather_only_their_own_anchors(spark):
         assert len(got) == 120
         # A null id is the smallest, so its rows keep all and the others lose the passage.
         assert all((r["n_removed"] > 0) == (r["doc_id"] is not None) for r in got)
+
+
+def test_secrets_copied_inside_one_source(spark):
+    wide, narrow = "Qw9" * 8, "Zx7" * 8
+    table = [(i, f"key {wide} end", ("en", "de", "fr")[i % 3], "s") for i in range(30)]
+    table += [(99, f"key {narrow} end", "en", "s")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string")
+    # One owner: repositories decide only where they are asked for.
+    assert all(r["n_live"] == r["n_owned"] == 1 for r in secrets.find_secrets(docs).collect())
+    for r in secrets.find_secrets(docs, wide_repos=3).collect():
+        assert (r["n_live"], r["n_owned"]) == ((1, 1) if r["doc_id"] == 99 else (0, 0))
