@@ -164,20 +164,21 @@ def link_bucket(values: np.ndarray, start: int, max_bits: int = MAX_BITS) -> lis
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (least node of a group, another of it); batches come sorted by bucket, the last bucket waits for more."""
+    """Links (least node of a group, another of it, their family); batches come sorted by bucket, the last bucket waits for more."""
 
     def linked(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         buckets, fps, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
-        heads, tails = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        heads, tails, families = ([np.empty(0, dtype=np.int64)] for _ in range(3))
         for i in np.flatnonzero(np.diff(edges) > 1):
             low, start = edges[i], int(buckets[edges[i]] >> 32) % _KEYS // len(_EQUAL)
             for group in link_bucket(fps[low:edges[i + 1]], start):
                 members = np.sort(nodes[low + group])
                 heads.append(np.repeat(members[0], len(members) - 1))
                 tails.append(members[1:])
+                families.append(np.full(len(members) - 1, int(buckets[low] >> 32) // _KEYS))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(heads)), pa.array(np.concatenate(tails))], names=["a", "b"]
+            [pa.array(np.concatenate(x)) for x in (heads, tails, families)], names=["a", "b", "family"]
         )
 
     held: list[list[np.ndarray]] = []
@@ -202,7 +203,25 @@ def _links(prints: DataFrame) -> DataFrame:
     """Links (a, b) of the nodes of (family, fp, node), one row per family and fingerprint."""
     keys = F.explode(_buckets(F.col("fp"), F.col("family"))).alias("bucket")
     buckets = prints.select("fp", "node", keys).repartition("bucket")
-    return buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint")
+    return buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint, family bigint")
+
+
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """(family, fp) of the fingerprints with a near partner in their family, of distinct (family, fp).
+
+    A row travels as its fingerprint and the number of its key; both ends work out the bucket of
+    `_buckets` from them, which halves what is shuffled.
+    """
+    start, kind = "(key % {0}) div {1}".format(_KEYS, len(_EQUAL)), "key % {0}".format(len(_EQUAL))
+    bucket = "cast(key as bigint)"
+    for offset in ("0", "1", f"(2 + int({kind} = 2))", f"(3 + int({kind} > 0))"):
+        shift = f"cast(({start} + {offset}) % {SEGMENTS} * {WIDTH} as int)"
+        bucket = f"(shiftleft({bucket}, 8) | (shiftrightunsigned(fp, {shift}) & 255L))"
+    keys = F.explode(F.sequence(F.col("family") * _KEYS, F.col("family") * _KEYS + _KEYS - 1)).alias("key")
+    dealt = prints.select("fp", keys).repartition(F.expr(bucket))
+    buckets = dealt.select("fp", F.col("fp").alias("node"), F.expr(bucket).alias("bucket"))
+    links = buckets.sortWithinPartitions("bucket").mapInArrow(_link, "a bigint, b bigint, family bigint")
+    return links.select("family", F.explode(F.array("a", "b")).alias("fp")).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -242,11 +261,8 @@ def _arrays(docs: DataFrame, name: str, make: Callable[[bytes], np.ndarray]) ->
 def _candidates(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """(row_key): rows with a partner at 3 or fewer differing bits in any family, or with an equal MinHash key."""
     each = prints.select("row_key", F.posexplode("fps").alias("family", "fp"))
-    nodes = written(each.groupBy("family", "fp").agg(
-        F.min("row_key").alias("node"), (F.min("row_key") < F.max("row_key")).alias("shared")
-    ), "nodes")
-    links = _links(nodes).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near = nodes.join(links, "node", "left_semi").union(nodes.where("shared")).select("family", "fp").distinct()
+    nodes = written(each.groupBy("family", "fp").agg((F.min("row_key") < F.max("row_key")).alias("shared")), "nodes")
+    near = _near_prints(nodes).union(nodes.where("shared").select("family", "fp")).distinct()
     by_print = each.join(near, ["family", "fp"], "left_semi").select("row_key")
     bands = written(_arrays(texts, "bands", text_bands).select("row_key", F.explode("bands").alias("band")), "bands")
     several = bands.groupBy("band").agg((F.min("row_key") < F.max("row_key")).alias("shared")).where("shared")

@@ -313,3 +313,15 @@ def test_secrets_copied_inside_one_source(spark):
     assert all(r["n_live"] == r["n_owned"] == 1 for r in secrets.find_secrets(docs).collect())
     for r in secrets.find_secrets(docs, wide_repos=3).collect():
         assert (r["n_live"], r["n_owned"]) == ((1, 1) if r["doc_id"] == 99 else (0, 0))
+
+
+def test_near_prints_are_those_of_plain_buckets(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64)
+    rows = {(f, int(v)) for f in (0, 3, 11) for v in base[f:f + 30]}
+    rows |= {(f, int(np.int64(v) ^ np.int64(1 << int(b)) ^ np.int64(1 << int(c)))) for f, v in rows if v % 2
+             for b, c in [rng.choice(62, 2, replace=False)]}
+    near = {(f, v) for f, v in rows if any(
+        f == g and v != w and ((v ^ w) & (1 << 64) - 1).bit_count() <= 3 for g, w in rows)}
+    prints = spark.createDataFrame(sorted(rows), "family int, fp bigint")
+    assert {tuple(r) for r in simhash._near_prints(prints).collect()} == near and near
