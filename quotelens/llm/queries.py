@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelens.llm.bpe import decode, encode
 from quotelens.llm.exact import exact_groups
+from quotelens.llm.fim import fill_in_middle, restored
 from quotelens.llm.language import held_out, identify
 from quotelens.llm.mixing import mix
+from quotelens.llm.negatives import hard_negatives
 from quotelens.llm.packing import pack
 from quotelens.llm.secrets import find_secrets
 from quotelens.llm.sharding import byte_shards
@@ -214,3 +218,63 @@ def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@_query("op11_fill_in_middle", r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents),
+drawn AS (
+  SELECT doc_id, body, t, len(t)::BIGINT AS n, ('0x' || d[1:8])::BIGINT % (len(t) + 1) AS a,
+         ('0x' || d[9:16])::BIGINT % (len(t) + 1) AS b, ('0x' || d[17:24])::BIGINT % 100 AS h3,
+         ('0x' || d[25:32])::BIGINT % 100 AS h4 FROM docs),
+parts AS (
+  SELECT doc_id, body, n, array_to_string(t[1:least(a, b)], '') AS p,
+         array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(t[greatest(a, b) + 1:n], '') AS s,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 >= 90
+              THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(body) AS restored_sha256
+FROM parts""")
+def fim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@_query("op13_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    coded = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id", (F.length("tokens") / 4).cast("bigint").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op12_hard_negatives", """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_dot_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM good a JOIN good c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER best)::INT AS rank, n.vec_id AS negative_id, positive_score,
+       n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 3""")
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
