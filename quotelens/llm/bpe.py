@@ -1,12 +1,11 @@
-"""Byte-level BPE by forced boundaries: fragments are encoded apart, then joined."""
+"""Byte-level BPE by forced boundaries: fragments are encoded apart, many at once, then joined."""
 
 from __future__ import annotations
 
-import array
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +15,14 @@ from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 BLOCK_CHARS = 1 << 16
+# Pieces that are learnt together, and the bounds of the memo between slabs.
+SLAB_PIECES = 1 << 16
 MEMO_ENTRIES = 1 << 18
 MEMO_CHARS = 64
 MAX_FILE_BYTES = 64 << 20
+# Fragments of more bytes are merged one by one.
+SHORT = 64
+_NEVER = 1 << 62
 
 # Fixed value: how the byte-level pre-tokenizer divides a text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -36,8 +40,40 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class _PairTable:
+    """Merge ranks of token pairs, looked up for whole arrays: open addressing over a sparse table."""
+
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray) -> None:
+        bits = max(16, int(4 * len(pairs)).bit_length() + 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NEVER, np.int64)
+        at, left, self.probes = self._slots(pairs), np.arange(len(pairs)), 0
+        while len(left):
+            self.probes += 1
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = pairs[free]
+            won = free[self.keys[at[free]] == pairs[free]]  # the last of several that want one slot
+            self.values[at[won]] = ranks[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, _NEVER where they do not merge or one is missing (negative)."""
+        pairs = left << 32 | right
+        at = self._slots(pairs)
+        out = np.where(self.keys[at] == pairs, self.values[at], _NEVER)
+        for _ in range(self.probes - 1):
+            at = (at + 1) & self.mask
+            out = np.where(self.keys[at] == pairs, self.values[at], out)
+        out[(left < 0) | (right < 0)] = _NEVER
+        return out
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file; holds memos of bounded size."""
+    """Encoder and decoder of one vocabulary file; holds a memo of bounded size."""
 
     def __init__(self, file: str) -> None:
         spec = json.loads(file)
@@ -51,63 +87,122 @@ class Codec:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must match their bare strings")
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.symbols = byte_symbols()
-        self.vocab: dict[str, int] = model["vocab"]
-        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): rank for rank, (a, b) in enumerate(merges)}
-        # Symbols that stand side by side inside a token; between any other two a boundary is certain.
-        self.inside = {token[i:i + 2] for token in self.vocab for i in range(len(token) - 1)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        symbols = byte_symbols()
+        code = {s: b for b, s in enumerate(symbols)}
+        vocab: dict[str, int] = model["vocab"]
+        self.id_of_byte = np.array([vocab[s] for s in symbols], np.int64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.merged_id = np.array([vocab[a + b] for a, b in merges], np.int64)
+        pairs = np.array(list(self.merges), np.int64).reshape(-1, 2)
+        self.table = _PairTable(pairs[:, 0] << 32 | pairs[:, 1], np.array(list(self.merges.values()), np.int64))
+        # Bytes that stand side by side inside a token; between any other two a boundary is certain.
+        self.inside = np.zeros((256, 256), bool)
+        for token in vocab:
+            for x, y in zip(token, token[1:], strict=False):
+                self.inside[code[x], code[y]] = True
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_at = re.compile("|".join(map(re.escape, longest_first)) or r"(?!)")
-        code = {s: b for b, s in enumerate(self.symbols)}
-        size = 1 + max([*self.vocab.values(), *self.added.values()])
-        self.bytes_of = [b""] * size
-        for token, number in [*self.vocab.items(), *self.added.items()]:
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = [b""] * (1 + max([*vocab.values(), *added.values()]))
+        for token, number in [*vocab.items(), *added.items()]:
             known = all(c in code for c in token)
             self.bytes_of[number] = bytes(code[c] for c in token) if known else token.encode()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = dict(self.added)
         self.same_class: dict[str, bool] = {}
 
-    def fragment(self, symbols: str) -> tuple[int, ...]:
-        """Ids of symbols between two certain boundaries: the pair of least rank is merged, leftmost first."""
-        ids = self.fragments.get(symbols)
-        if ids is None:
-            ids = tuple(self.vocab[s] for s in self._merged(symbols))
-            _remember(self.fragments, symbols, ids)
-        return ids
-
-    def _merged(self, symbols: str) -> list[str]:
-        parts: list[str | None] = list(symbols)
-        end = len(parts)
+    def fragments(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ends of the fragments of adjoining pieces: piece ends, and every pair of bytes that no token holds."""
+        cut = np.zeros(len(codes) + 1, bool)
+        cut[ends] = True
+        cut[1:-1] |= ~self.inside[codes[:-1], codes[1:]]
+        return np.flatnonzero(cut)
+
+    def merged(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all fragments one after another, ids per fragment): in each, the pair of least rank is merged first, leftmost first."""
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sizes = ends - starts
+        counts, found = np.zeros(len(ends), np.int64), []
+        for low, high in zip((0, 4, 8, 16, 32), (4, 8, 16, 32, SHORT), strict=True):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(rows):
+                places = starts[rows, None] + np.arange(high)
+                parts = self.id_of_byte[codes[np.minimum(places, len(codes) - 1)]]
+                parts[places >= ends[rows, None]] = -1
+                found.append((rows, self._merged_together(parts)))
+        for row in np.flatnonzero(sizes > SHORT).tolist():
+            ids = self._merged_long(self.id_of_byte[codes[starts[row]:ends[row]]].tolist())
+            found.append((np.array([row]), np.array([ids], np.int64)))
+        for rows, parts in found:
+            counts[rows] = (parts >= 0).sum(axis=1)
+        after = np.cumsum(counts)
+        flat = np.empty(after[-1] if len(after) else 0, np.int64)
+        for rows, parts in found:
+            held = parts >= 0
+            places = (after - counts)[rows, None] + np.arange(parts.shape[1])
+            flat[places[held]] = parts[held]
+        return flat, counts
+
+    def _merged_together(self, parts: np.ndarray) -> np.ndarray:
+        """Fragments as rows of ids, filled up with -1: each round makes one merge in every row that has one left."""
+        done = np.full_like(parts, -1)
+        at, columns = np.arange(len(parts)), np.arange(parts.shape[1])
+        parts = np.hstack([parts, np.full((len(parts), 1), -1, np.int64)])
+        ranks = self.table.ranks(parts[:, :-1], parts[:, 1:])
+        while len(at):
+            least = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), least]
+            alive = best < _NEVER
+            if not alive.all():
+                done[at[~alive]] = parts[~alive, :-1]
+                at, parts, ranks, least, best = at[alive], parts[alive], ranks[alive], least[alive], best[alive]
+            row = np.arange(len(at))
+            parts[row, least] = self.merged_id[best]
+            later = columns > least[:, None]
+            parts[:, :-1] = np.where(later, parts[:, 1:], parts[:, :-1])
+            ranks[:, :-1] = np.where(later[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = _NEVER
+            ranks[row, least] = self.table.ranks(parts[row, least], parts[row, least + 1])
+            kept = least > 0
+            some, left = row[kept], least[kept] - 1
+            ranks[some, left] = self.table.ranks(parts[some, left], parts[some, left + 1])
+        return done
+
+    def _merged_long(self, parts: list[int]) -> list[int]:
+        """A fragment of many bytes: pairs wait in a queue by rank and place."""
+        end, merges, merged_id = len(parts), self.merges, self.merged_id
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        ranks = self.ranks
-        queue = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+        queue = [(merges[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in merges]
         heapq.heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            rank, i, left, right = heapq.heappop(queue)
             if parts[i] != left or (j := after[i]) == end or parts[j] != right:
                 continue  # one of the two has been merged since
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = int(merged_id[rank]), -1
             after[i] = after[j]
             if after[i] < end:
                 before[after[i]] = i
             for a in (before[i], i):
-                if a >= 0 and (b := after[a]) < end and (pair := (parts[a], parts[b])) in ranks:
-                    heapq.heappush(queue, (ranks[pair], a, *pair))
-        return [p for p in parts if p is not None]
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one piece: it is cut at every pair of bytes that no token holds."""
-        symbols = "".join(map(self.symbols.__getitem__, text.encode()))
-        inside, start, ids = self.inside, 0, []
-        for i in range(1, len(symbols)):
-            if symbols[i - 1:i + 1] not in inside:
-                ids += self.fragment(symbols[start:i])
-                start = i
-        ids += self.fragment(symbols[start:])
-        return tuple(ids)
+                if a >= 0 and (b := after[a]) < end and (pair := (parts[a], parts[b])) in merges:
+                    heapq.heappush(queue, (merges[pair], a, *pair))
+        return [p for p in parts if p >= 0]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Put the packed ids of pieces into the memo: one array of bytes, cut into fragments, merged, joined again."""
+        if not pieces:
+            return
+        data = [p.encode() for p in pieces]
+        codes = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum([len(d) for d in data])
+        fragments = self.fragments(codes, ends)
+        flat, counts = self.merged(codes, fragments)
+        bounds = np.cumsum(counts)[np.searchsorted(fragments, ends)]
+        packed = flat.astype("<u4").tobytes()
+        start = 0
+        for piece, stop in zip(pieces, (4 * bounds).tolist(), strict=True):
+            self.memo[piece] = packed[start:stop]
+            start = stop
 
     def _divided(self, block: str) -> list[str]:
         """Pieces of a block. Characters that the two libraries class apart are left to the tokenizer's own."""
@@ -121,31 +216,52 @@ class Codec:
                     return [block[a:b] for _, (a, b) in self.library.pre_tokenize_str(block)]
         return PIECE.findall(block)
 
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        out = bytearray()
+    def _blocks(self, text: str) -> Iterator[list[str]]:
+        """Pieces of a text, block by block; an added token is a piece of its own."""
         at = 0
-        for found in self.added_at.finditer(text):
-            self._encode_span(text, at, found.start(), out)
-            out += self.added[found.group()].to_bytes(4, "little")
-            at = found.end()
-        self._encode_span(text, at, len(text), out)
-        return bytes(out)
-
-    def _encode_span(self, text: str, at: int, end: int, out: bytearray) -> None:
-        pieces = self.pieces
-        while at < end:
-            safe = _SAFE.search(text, min(at + BLOCK_CHARS, end), end)
-            stop = safe.start() if safe else end
-            ids = array.array("I")
-            for piece in self._divided(text[at:stop]):
-                known = pieces.get(piece)
-                if known is None:
-                    known = self.piece(piece)
-                    _remember(pieces, piece, known)
-                ids.extend(known)
-            out += np.frombuffer(ids, np.uint32).astype("<u4").tobytes() if ids else b""
-            at = stop
+        for found in [*self.added_at.finditer(text), None]:
+            end = found.start() if found else len(text)
+            while at < end:
+                safe = _SAFE.search(text, min(at + BLOCK_CHARS, end), end)
+                stop = safe.start() if safe else end
+                yield self._divided(text[at:stop])
+                at = stop
+            if found:
+                yield [found.group()]
+                at = found.end()
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers; new pieces are learnt slab by slab."""
+        out: list[bytearray] = []
+        slab: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def flush() -> None:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo = dict(self.added)
+            new = set().union(*(pieces for _, pieces in slab)) - self.memo.keys()
+            self.learn(list(new))
+            known = self.memo.__getitem__
+            for i, pieces in slab:
+                out[i] += b"".join(map(known, pieces))
+            for piece in new:
+                if len(piece) > MEMO_CHARS:
+                    del self.memo[piece]
+            slab.clear()
+
+        for i, text in enumerate(texts):
+            out.append(bytearray())
+            for pieces in self._blocks(text):
+                slab.append((i, pieces))
+                held += len(pieces)
+                if held >= SLAB_PIECES:
+                    flush()
+                    held = 0
+        flush()
+        return list(map(bytes, out))
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, tokens: bytes) -> str:
         """Text of packed ids; bytes that are no UTF-8 become U+FFFD. An unknown id is an error."""
@@ -155,13 +271,6 @@ class Codec:
         return b"".join(b"".join(map(table.__getitem__, span)) for span in spans).decode("utf-8", "replace")
 
 
-def _remember(memo: dict[str, tuple[int, ...]], key: str, ids: tuple[int, ...]) -> None:
-    if len(key) <= MEMO_CHARS:
-        if len(memo) >= MEMO_ENTRIES:
-            memo.clear()
-        memo[key] = ids
-
-
 _CODECS: dict[int, Codec] = {}
 
 
@@ -199,7 +308,7 @@ def encode(docs: DataFrame, path: str, text: Column | str = "text", into: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared)
         for batch in batches:
-            yield pa.array((codec.encode(x.as_py().decode("utf-8", "replace")) for x in batch), pa.binary())
+            yield pa.array(codec.encode_all(x.as_py().decode("utf-8", "replace") for x in batch), pa.binary())
 
     column = F.col(text) if isinstance(text, str) else text
     return docs.withColumn(into, run(F.coalesce(column, F.lit("")).cast("binary")))
