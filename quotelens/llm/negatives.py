@@ -139,10 +139,11 @@ class Gnat:
             ids, tags = self.ids[node.rows], self.labels[node.rows]
             fits = (tags == labels[who][:, None]) == same
             fits &= ids != own[who][:, None]
-            for p, at in zip(active.tolist(), place.tolist(), strict=True):
-                hits = np.flatnonzero(fits[at] & (scores[at] >= probes.low[p]) & (scores[at] <= probes.high[p]))
-                if len(hits):
-                    probes.add(p, scores[at][hits], ids[hits])
+            # All windows of the leaf at once; only those with hits are looked at one by one.
+            mine = scores[place]
+            hits = fits[place] & (mine >= probes.low[active][:, None]) & (mine <= probes.high[active][:, None])
+            for row in np.flatnonzero(hits.any(axis=1)).tolist():
+                probes.add(int(active[row]), mine[row][hits[row]], ids[hits[row]])
             return
         far = self.lift.asked(anchors[who], node.points)
         most, least = reachable(far, node.low, node.high, lengths[who] + self.lift.reach)
