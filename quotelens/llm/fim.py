@@ -19,7 +19,7 @@ MEMO_BYTES = 1 << 10
 
 # A token is a run of ASCII letters or one other character; of a character only its first byte counts.
 _TOKEN = re.compile(rb"[A-Za-z]+|[^A-Za-z\x80-\xbf]")
-_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_LETTERS = frozenset(bytes([c]) for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)).astype(np.uint32)
 
 
@@ -39,12 +39,12 @@ def chunk_ends(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
             rolled[age:] = rolled[age:] + (rolled[:-age] << np.uint32(age))
         cuts = np.flatnonzero(rolled >> np.uint32(32 - bits) == 0) + first + 1
         ends += cuts[(cuts > max(at, WINDOW - 1)) & (cuts < len(codes))].tolist()
-    return [*ends, len(data)] if data else []
+    return [*ends, len(data)]
 
 
 def summary(chunk: bytes) -> tuple[int, bool, bool]:
     """Tokens that start in a chunk if no letter stands before it; whether it starts and ends with a letter."""
-    return len(_TOKEN.findall(chunk)), chunk[0] in _LETTERS, chunk[-1] in _LETTERS
+    return len(_TOKEN.findall(chunk)), chunk[:1] in _LETTERS, chunk[-1:] in _LETTERS
 
 
 class Counter:
@@ -72,7 +72,7 @@ class Counter:
         chunk is read again.
         """
         ends = chunk_ends(data, self.bits)
-        running, starts, goes_on = [0], [0, *ends[:-1]], []
+        running, starts, goes_on = [0], [0, *ends][:-1], []
         last_letter = False
         for a, b in zip(starts, ends, strict=True):
             count, first, last = self._summary(data[a:b])
