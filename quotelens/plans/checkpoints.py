@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As `written`, in as many buckets of `key` as a shuffle has partitions: a join on `key` alone moves only the other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables stored since the first `keep`; frames that read them end with them."""
     jvm = spark.sparkContext._jvm
