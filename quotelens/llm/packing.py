@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.llm.rows import WORD, running_sums
@@ -11,49 +10,49 @@ from quotelens.plans.checkpoints import written
 
 BUCKETS = 8
 BUDGET = 8192
-FINE_BITS = 9
 
 
-def length_bin(size: Column) -> Column:
-    """Lengths below 512 one by one, longer ones by their first nine binary digits.
+def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+    """Upper lengths of at most `buckets` buckets of neighbouring lengths with the least padding.
 
-    So the histogram has a few thousand bins at most, whatever the corpus; every bin keeps its
-    own largest length, and no length is rounded.
+    Dynamic program over the last length of a bucket. A bucket of lengths i..j-1 pads
+    L * (rows[j] - rows[i]) - (words[j] - words[i]) words, L its largest length. For given j that is,
+    but for a constant, the value at L of a line with slope -rows[i]: slopes fall and L grows, so
+    the lower hull of the lines is walked once a bucket. Whole numbers throughout, so the bounds are exact.
     """
-    digits = F.length(F.bin(size))
-    drop = F.greatest(digits - FINE_BITS, F.lit(0))
-    return (drop * (1 << FINE_BITS)).cast("bigint") + F.expr("shiftright(size, greatest(length(bin(size)) - 9, 0))")
-
-
-def best_bounds(largest: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
-    """Upper lengths of at most `buckets` buckets of consecutive bins with the least padding.
-
-    Dynamic program over the last bin of a bucket: cost of bins i..j is largest[j] times their
-    rows minus their words.
-    """
-    n = len(largest)
-    if not n:
-        return []
-    rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    words = np.concatenate([[0], np.cumsum(totals)]).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    n = len(lengths)
+    rows, words = [0], [0]
+    for length, count in zip(lengths, counts, strict=True):
+        rows.append(rows[-1] + count)
+        words.append(words[-1] + length * count)
+    best: list[int | None] = [0] + [None] * n
     cuts = []
     for _ in range(min(buckets, n)):
-        cut = np.zeros(n + 1, dtype=np.int64)
-        now = np.full(n + 1, np.inf)
-        now[0] = 0
+        now: list[int | None] = [0] + [None] * n
+        cut = [0] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # (slope, value at 0, i)
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + largest[j - 1] * (rows[j] - rows[:j]) - (words[j] - words[:j])
-            cut[j] = int(cost.argmin())
-            now[j] = cost[cut[j]]
+            if best[j - 1] is not None:
+                slope, start = -rows[j - 1], best[j - 1] + words[j - 1]
+                while len(hull) > at + 1:
+                    (s1, c1, _), (s2, c2, _) = hull[-2:]
+                    if (start - c1) * (s1 - s2) > (c2 - c1) * (s1 - slope):
+                        break
+                    hull.pop()
+                hull.append((slope, start, j - 1))
+            x = lengths[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
+                at += 1
+            slope, start, cut[j] = hull[at]
+            now[j] = slope * x + start + x * rows[j] - words[j]
         best, cuts = now, [*cuts, cut]
     bounds, j = [], n
     for cut in reversed(cuts):
         if j == 0:
             break
-        bounds.append(int(largest[j - 1]))
-        j = int(cut[j])
+        bounds.append(lengths[j - 1])
+        j = cut[j]
     return bounds[::-1]
 
 
@@ -70,11 +69,10 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     ), "sized")
-    # Bounded by the number of bins.
-    bins = sized.groupBy(length_bin(F.col("size")).alias("bin")).agg(
-        F.max("size").alias("largest"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")
-    ).orderBy("largest").collect()
-    bounds = best_bounds(*(np.array([r[c] for r in bins], dtype=np.int64) for c in ("largest", "rows", "words")), buckets)
+    # One row a length. n different lengths add up to n * (n + 1) / 2 words or more, so n is at most
+    # the square root of twice the words of the corpus.
+    histogram = sized.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).orderBy("size").collect()
+    bounds = best_bounds([r["size"] for r in histogram], [r["rows"] for r in histogram], buckets)
     bounds = bounds or [0]
     places = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     # Buckets below the first bound that holds the size.

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -221,12 +222,33 @@ def test_language_learns_from_its_share_only(spark):
 def test_bounds_are_optimal_and_batches_keep_the_budget(docs, rows):
     from itertools import combinations
 
-    largest, counts = np.array([1, 3, 4, 9, 20]), np.array([5, 1, 2, 2, 1])
-    bounds = packing.best_bounds(largest, counts, largest * counts, 3)
-    cost = lambda b: sum(c * (min(x for x in b if x >= n) - n) for n, c in zip(largest, counts, strict=True))
-    assert cost(bounds) == min(cost([*c, 20]) for c in combinations([1, 3, 4, 9], 2))
+    rng = np.random.default_rng(4)
+
+    def padding(lengths, counts, bounds):
+        return sum(c * (min(x for x in bounds if x >= n) - n) for n, c in zip(lengths, counts, strict=True))
+
+    for _ in range(60):
+        lengths = sorted(rng.choice(3000, rng.integers(1, 10), replace=False).tolist())
+        counts = rng.integers(1, 9, len(lengths)).tolist()
+        for buckets in (1, 2, 3, 12):
+            bounds = packing.best_bounds(lengths, counts, buckets)
+            inner = [c for k in range(buckets) for c in combinations(lengths[:-1], min(k, len(lengths) - 1))]
+            assert len(bounds) <= buckets
+            assert padding(lengths, counts, bounds) == min(padding(lengths, counts, [*c, lengths[-1]]) for c in inner)
+    assert packing.best_bounds([], [], 3) == []
     got = packing.pack(docs, buckets=3, budget=450).collect()
     assert len(got) == len(rows)
+    # Every row as a plain reading of the docstring gives it.
+    sizes = sorted((len((t or "").encode().split()), -1 if i is None else i) for i, t, *_ in rows)
+    bounds = packing.best_bounds(*map(list, zip(*sorted(Counter(n for n, _ in sizes).items()), strict=True)), 3)
+    want = []
+    for k, bound in enumerate(bounds):
+        inside = [(i, n) for n, i in sizes if n <= bound and (k == 0 or n > bounds[k - 1])]
+        inside.sort(key=lambda x: (hashlib.md5(str(x[0] if x[0] >= 0 else "").encode()).hexdigest(), *x))
+        room = max(1, 450 // max(bound, 1))
+        want += [(i, n, k, bound, p // room, p % room, bound - n) for p, (i, n) in enumerate(inside)]
+    columns = ("doc_id", "size", "bucket", "bucket_len", "batch", "slot", "padding")
+    assert sorted(tuple(-1 if r[c] is None else r[c] for c in columns) for r in got) == sorted(want)
     for key in {(r["bucket"], r["batch"]) for r in got}:
         batch = [r for r in got if (r["bucket"], r["batch"]) == key]
         assert sorted(r["slot"] for r in batch) == list(range(len(batch)))
