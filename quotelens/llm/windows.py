@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens.llm.rows import keyed
-from quotelens.plans.checkpoints import written
+from quotelens.plans.checkpoints import written, written_by_key
 
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -301,7 +301,13 @@ def _shard_rows(pending: DataFrame, checks: DataFrame, scheme: Scheme) -> DataFr
         F.collect_list(F.struct("start", "count", "anchor", "many")).alias("wanted")
     )
     schema = "route bigint, rank bigint, row_key bigint, start bigint, count int, state tinyint, content binary"
-    return pending.select("rank", "row_key", "text").join(wanted, ["rank", "row_key"]).mapInArrow(run, schema)
+    return _beside_texts(pending, wanted).mapInArrow(run, schema)
+
+
+def _beside_texts(pending: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found in each row beside its text. Texts lie in buckets of row_key and stay where they are."""
+    other = found.withColumnRenamed("rank", "found_rank")
+    return pending.select("rank", "row_key", "text").join(other, "row_key").where("rank = found_rank").drop("found_rank")
 
 
 def _judged(rows: DataFrame, scheme: Scheme, judge: Judge) -> DataFrame:
@@ -345,7 +351,9 @@ def covered_windows(texts: DataFrame, scheme: Scheme, judge: Judge) -> tuple[Dat
     ranked = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "row_key", "text")
     # A row_key covers id and text; two documents that share one by chance would only keep each other's anchors.
     anchors = repeated_anchors(ranked, scheme).groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
-    pending = written(ranked.join(anchors, "row_key").dropDuplicates(["row_key", "rank"]).select(*ranked.columns, "anchors"), "pending")
+    pending = written_by_key(
+        ranked.join(anchors, "row_key").dropDuplicates(["row_key", "rank"]).select(*ranked.columns, "anchors"), "pending", "row_key"
+    )
     marks = written(_first_places(_kept_segments(pending, scheme)), "marks")
     firsts = marks.where("not covered")
     several = written(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
@@ -396,7 +404,7 @@ def remove_covered(docs: DataFrame, scheme: Scheme, judge: Judge, empty: bytes =
 
     # Rows that share a key are the same text, so one result serves them all.
     runs = covered.groupBy("rank", "row_key").agg(F.collect_set(F.struct("start", "count")).alias("ranges"))
-    touched = pending.select("rank", "row_key", "text").join(runs, ["rank", "row_key"]).mapInArrow(finish, schema)
+    touched = _beside_texts(pending, runs).mapInArrow(finish, schema)
     touched = written(touched.dropDuplicates(["rank", "row_key"]), "touched")
     whole = texts.select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "row_key", "text",
