@@ -1,4 +1,4 @@
-"""Line items from header-mapped sheets (standard and assembly layouts)."""
+"""Line items from header-mapped sheets: standard and assembly layouts in one scan."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
 from quotelens.functions.text import contains_any, from_end, is_number, numbers, to_double, to_long
-from quotelens.operators.layout import SHEET, header_hits, skip_sheet_assembly, skip_sheet_standard
+from quotelens.operators.layout import SHEET, filled_rows, header_hits, skip_sheet_assembly, skip_sheet_standard
+from quotelens.plans.segments import AT, segmented
 
 FIELDS = ["item_name", "spec", "unit", "quantity", "unit_price", "amount", "maker"]
 ITEM_COLUMNS = ["file_id", "sheet_idx", "row_idx", "unit_name", *FIELDS, "category"]
@@ -109,48 +110,73 @@ def _position(fields: Column, name: str, first: bool) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def map_columns_standard(heads: DataFrame) -> DataFrame:
-    """Column position of every field; the last matching header cell wins."""
-    fields = F.transform("header_cells", lambda c: F.coalesce(field_standard(c), F.lit("")))
-    with_fields = heads.withColumn("fields", fields)
-    return with_fields.withColumns(
-        {f"pos_{f}": _position(F.col("fields"), f, first=False) for f in FIELDS}
-    ).drop("fields")
+def positions_standard(cells: Column) -> Column:
+    """Column position of every field in a header row; the last matching header cell wins."""
+    fields = F.transform(cells, lambda c: F.coalesce(field_standard(c), F.lit("")))
+    return F.struct(*[_position(fields, f, first=False).alias(f) for f in FIELDS])
 
 
-def map_columns_assembly(heads: DataFrame) -> DataFrame:
+def positions_assembly(cells: Column) -> Column:
     """As the standard map, but name and amount take the first cell and there is no maker.
 
     Without a name column the nearest usable cell left of the unit price stands in.
     """
-    fields = F.transform("header_cells", lambda c: F.coalesce(field_assembly(c), F.lit("")))
+    fields = F.transform(cells, lambda c: F.coalesce(field_assembly(c), F.lit("")))
     first = {"item_name", "amount"}
-    mapped = heads.withColumn("fields", fields).withColumns(
-        {f"pos_{f}": _position(F.col("fields"), f, f in first) for f in FIELDS if f != "maker"}
-    )
-    usable = F.transform(
-        "header_cells", lambda c: (c != "") & ~contains_any(c, V.ASSEMBLY_NAME_FALLBACK_STOP)
-    )
-    left = F.slice(usable, F.lit(1), F.coalesce("pos_unit_price", F.lit(0)))
+    at = {f: _position(fields, f, f in first) for f in FIELDS if f != "maker"}
+    usable = F.transform(cells, lambda c: (c != "") & ~contains_any(c, V.ASSEMBLY_NAME_FALLBACK_STOP))
+    left = F.slice(usable, F.lit(1), F.coalesce(at["unit_price"], F.lit(0)))
     back = F.array_position(F.reverse(left), True)
     stand_in = F.when(back > 0, (F.size(left) - back).cast("int"))
-    return mapped.withColumns({
-        "pos_item_name": F.coalesce("pos_item_name", stand_in),
-        "pos_maker": F.lit(None).cast("int"),
-    }).drop("fields")
+    at |= {"item_name": F.coalesce(at["item_name"], stand_in), "maker": F.lit(None).cast("int")}
+    return F.struct(*[at[f].alias(f) for f in FIELDS])
 
 
-def _cell(name: str) -> Column:
-    return F.coalesce(F.get("cells", F.col(f"pos_{name}")), F.lit(""))
+def _mapped(heads: DataFrame, positions: Callable[[Column], Column]) -> DataFrame:
+    found = heads.withColumn("pos", positions(F.col("header_cells")))
+    return found.select(*heads.columns, *[F.col(f"pos.{f}").alias(f"pos_{f}") for f in FIELDS])
+
+
+def map_columns_standard(heads: DataFrame) -> DataFrame:
+    return _mapped(heads, positions_standard)
+
+
+def map_columns_assembly(heads: DataFrame) -> DataFrame:
+    return _mapped(heads, positions_assembly)
 
 
-def _body(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Data rows below the header with their mapped cells.
+LAYOUTS = ("standard", "assembly")
 
-    Heads hold one row per sheet; AQE broadcasts them when small and otherwise splits a
-    sheet-heavy partition on the row side.
+
+def _by_layout(standard: Column, assembly: Column) -> Column:
+    """What the layout of a row's file asks for; null for any other layout."""
+    return F.when(F.col("layout_group") == "standard", standard).when(F.col("layout_group") == "assembly", assembly)
+
+
+def latched_rows(sheet_rows: DataFrame, renumber: bool = True) -> DataFrame:
+    """Filled rows of raw sheets with the unit name, header row number and column positions of their sheet.
+
+    `sheet_rows` carries layout_group. Each row offers what its own layout would take from it, and
+    the first offer of the sheet is latched, so both layouts share one scan and one exchange.
+    Rows of sheets that a layout skips offer nothing. Positions are null without a header row.
     """
-    return rows.drop("sheet").join(mapped, SHEET).filter(F.col("row_idx") > F.col("header_idx"))
+    cells, sheet = F.col("cells"), F.col("sheet")
+    standard = ~skip_sheet_standard(sheet) & (header_hits(cells, V.STANDARD_HEADER_WORDS) >= 3)
+    assembly = ~skip_sheet_assembly(sheet) & (header_hits(cells, V.ASSEMBLY_HEADER_WORDS) >= 2)
+    positions = _by_layout(
+        F.when(standard, positions_standard(cells)), F.when(assembly, positions_assembly(cells))
+    )
+    title = _by_layout(unit_name_standard(cells), unit_name_assembly(cells))
+    top = _by_layout(F.lit(4), F.lit(1))
+    latched = segmented(
+        filled_rows(sheet_rows), SHEET, {"pos": positions, "title": F.when(F.col(AT) < top, title)}, renumber
+    )
+    named = F.coalesce(F.when(F.col("title_at") < top, F.col("title")), sheet)
+    return latched.withColumn("unit_name", named).withColumnRenamed("pos_at", "header_idx").drop("title", "title_at")
+
+
+def _cell(name: str) -> Column:
+    return F.coalesce(F.get("cells", F.col(f"pos.{name}")), F.lit(""))
 
 
 def _usable_name(name: Column, skip_words: list[str]) -> Column:
@@ -162,70 +188,60 @@ def _or_fallback(value: Column, fallback: Column) -> Column:
     return F.when(value.isNull() | (value == 0), fallback).otherwise(value)
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({
+def items_of(latched: DataFrame) -> DataFrame:
+    """Items of latched rows, each by the rules of its layout and tagged with it.
+
+    Standard: position 0 counts as unmapped for price and amount, and missing or zero numbers are
+    taken from the row's last numbers. Assembly: a missing price takes all three from the row.
+    """
+    c = F.col
+    mapped = _by_layout(
+        (F.coalesce("pos.unit_price", F.lit(0)) > 0) | (F.coalesce("pos.amount", F.lit(0)) > 0), F.lit(True)
+    )
+    parsed = latched.filter((c("row_idx") > c("header_idx")) & mapped).withColumns({
         "item_name": _cell("item_name"),
         "spec": _cell("spec"),
         "unit": _cell("unit"),
-        "maker": _cell("maker"),
+        "maker": _by_layout(_cell("maker"), F.lit("")),
         "unit_price": to_long(_cell("unit_price")),
         "amount": to_long(_cell("amount")),
         "quantity": to_double(_cell("quantity")),
     })
-
-
-def _with_numbers(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("nums", numbers(F.col("cells")))
-
-
-def _finish(rows: DataFrame) -> DataFrame:
-    return (
-        rows.filter(F.col("unit_price") > 0)
-        .withColumn("category", F.lit(V.DEFAULT_CATEGORY))
-        .select(*ITEM_COLUMNS)
-    )
-
-
-def rows_standard(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Items of standard sheets. Position 0 counts as unmapped for price and amount."""
-    priced = mapped.filter((F.coalesce("pos_unit_price", F.lit(0)) > 0) | (F.coalesce("pos_amount", F.lit(0)) > 0))
-    parsed = _parsed(_body(rows, priced)).filter(
-        _usable_name(F.col("item_name"), V.STANDARD_SKIP_ROW_WORDS)
-        & ~F.col("item_name").startswith("0")
-        & (F.col("unit_price").isNotNull() | F.col("amount").isNotNull())
-    )
-    nums = F.col("nums")
-    incomplete = (F.col("unit_price").isNull() | F.col("amount").isNull()) & (F.size(nums) >= 2)
-    filled = _with_numbers(parsed).withColumns({
-        name: F.when(incomplete, _or_fallback(F.col(name), value)).otherwise(F.col(name))
+    usable = parsed.filter(_by_layout(
+        _usable_name(c("item_name"), V.STANDARD_SKIP_ROW_WORDS) & ~c("item_name").startswith("0")
+        & (c("unit_price").isNotNull() | c("amount").isNotNull()),
+        _usable_name(c("item_name"), V.ASSEMBLY_SKIP_ROW_WORDS),
+    ))
+    nums = c("nums")
+    missing = _by_layout(c("unit_price").isNull() | c("amount").isNull(), F.coalesce("unit_price", F.lit(0)) <= 0)
+    incomplete = missing & (F.size(nums) >= 2)
+    filled = usable.withColumn("nums", numbers(c("cells"))).withColumns({
+        name: F.when(incomplete, _by_layout(_or_fallback(c(name), value), value)).otherwise(c(name))
         for name, value in {
             "amount": from_end(nums, 1).try_cast("bigint"),
             "unit_price": from_end(nums, 2).try_cast("bigint"),
             "quantity": from_end(nums, 3),
         }.items()
     })
-    return _finish(filled)
+    return (
+        filled.filter(c("unit_price") > 0)
+        .withColumn("category", F.lit(V.DEFAULT_CATEGORY))
+        .select(*ITEM_COLUMNS, "layout_group")
+    )
 
 
-def rows_assembly(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Items of assembly sheets; a missing price takes all three numbers from the row."""
-    parsed = _parsed(_body(rows, mapped)).filter(_usable_name(F.col("item_name"), V.ASSEMBLY_SKIP_ROW_WORDS))
-    nums = F.col("nums")
-    incomplete = (F.coalesce("unit_price", F.lit(0)) <= 0) & (F.size(nums) >= 2)
-    filled = _with_numbers(parsed).withColumns({
-        name: F.when(incomplete, value).otherwise(F.col(name))
-        for name, value in {
-            "amount": from_end(nums, 1).try_cast("bigint"),
-            "unit_price": from_end(nums, 2).try_cast("bigint"),
-            "quantity": from_end(nums, 3),
-        }.items()
-    })
-    return _finish(filled.withColumn("maker", F.lit("")))
+def parse_items(sheet_rows: DataFrame) -> DataFrame:
+    """Tagged items of raw sheet rows that carry layout_group; rows of other layouts give none."""
+    return items_of(latched_rows(sheet_rows))
+
+
+def _parse_as(layout: str, rows: DataFrame) -> DataFrame:
+    return parse_items(rows.withColumn("layout_group", F.lit(layout))).drop("layout_group")
 
 
 def parse_standard(rows: DataFrame) -> DataFrame:
-    return rows_standard(rows, map_columns_standard(heads_standard(rows)))
+    return _parse_as("standard", rows)
 
 
 def parse_assembly(rows: DataFrame) -> DataFrame:
-    return rows_assembly(rows, map_columns_assembly(heads_assembly(rows)))
+    return _parse_as("assembly", rows)

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quotelens import fixed_values as V
 from quotelens.functions.text import clean_cells, contains_any, is_blank_cell, strip
+from quotelens.plans.segments import segmented
 
 SHEET = ["file_id", "sheet_idx"]
 
 
-def clean_rows(sheet_rows: DataFrame) -> DataFrame:
-    """Trimmed cells, no blank rows, rows numbered from 0 per sheet in `row_idx`; every row counts."""
+def filled_rows(sheet_rows: DataFrame) -> DataFrame:
+    """Trimmed cells, no blank rows; rows keep their numbers."""
     # Tested on the raw cells: a filter on cleaned cells would clean every row twice.
     kept = sheet_rows.filter(F.exists("cells", lambda c: ~is_blank_cell(c)))
-    cleaned = kept.withColumn("cells", clean_cells(F.col("cells")))
-    order = Window.partitionBy(*SHEET).orderBy("row_idx")
-    return cleaned.withColumn("row_idx", F.row_number().over(order) - 1)
+    return kept.withColumn("cells", clean_cells(F.col("cells")))
+
+
+def clean_rows(sheet_rows: DataFrame) -> DataFrame:
+    """Trimmed cells, no blank rows, rows numbered from 0 per sheet in `row_idx`; every row counts.
+
+    A long sheet is numbered range by range, so no task holds a whole sheet.
+    """
+    return segmented(filled_rows(sheet_rows), SHEET, renumber=True).select(*sheet_rows.columns)
 
 
 def locked_files(rows: DataFrame, marker: str = V.LOCK_MARKER) -> DataFrame:

@@ -12,6 +12,7 @@ from quotelens.functions.text import (
 from quotelens.operators.items import ITEM_COLUMNS
 from quotelens.operators.layout import SHEET
 from quotelens.plans.ranking import first_per_key
+from quotelens.plans.segments import segmented
 
 
 def split_cells(rows: DataFrame) -> DataFrame:
@@ -23,117 +24,132 @@ def _joined() -> Column:
     return F.concat_ws(" ", F.filter("cells", lambda c: (strip(c) != "") & (c != "None")))
 
 
-def positional_items(rows: DataFrame, min_amount: int, skip_words: list[str], min_name: int = 2) -> DataFrame:
-    """Items read by position: last numbers are quantity, price, amount; first texts name, spec, unit.
+def _positional_item(min_amount: Column, skip_words: list[str], min_name: int) -> Column:
+    """The item of a row read by position, or null: last numbers are quantity, price, amount; first texts name, spec, unit."""
+    split = F.struct(numbers(F.col("cells")).alias("nums"), texts(F.col("cells")).alias("words"))
 
-    `rows` carries unit_name.
-    """
-    nums, words = F.col("nums"), F.col("words")
+    def item(s: Column) -> Column:
+        nums, words = s["nums"], s["words"]
 
-    def word(i: int) -> Column:
-        return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+        def word(i: int) -> Column:
+            return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
 
-    split = split_cells(rows).filter((F.size("nums") >= 2) & (F.size("words") >= 1))
-    price, amount = from_end(nums, 2), from_end(nums, 1)
-    return (
-        split.withColumns({
-            "item_name": word(0),
-            "spec": word(1),
-            "unit": word(2),
-            "maker": F.when(F.size("words") > 3, from_end(words, 1)).otherwise(F.lit("")),
-            "price_number": price,
-            "amount_number": amount,
-            "quantity": from_end(nums, 3),
-        })
-        .filter((F.col("price_number") > 0) & (F.col("amount_number") >= min_amount))
-        .filter(
-            (F.length("item_name") >= min_name)
-            & ~F.col("item_name").startswith("0")
-            & ~contains_any(F.col("item_name"), skip_words)
+        price, amount = from_end(nums, 2), from_end(nums, 1)
+        good = (
+            (F.size(nums) >= 2) & (F.size(words) >= 1) & (price > 0) & (amount >= min_amount)
+            & (F.length(word(0)) >= min_name) & ~word(0).startswith("0") & ~contains_any(word(0), skip_words)
         )
-        .withColumns({
-            "unit_price": F.col("price_number").try_cast("bigint"),
-            "amount": F.col("amount_number").try_cast("bigint"),
-            "category": F.lit(V.DEFAULT_CATEGORY),
-        })
-        .select(*ITEM_COLUMNS)
+        return F.when(good, F.struct(
+            word(0).alias("item_name"), word(1).alias("spec"), word(2).alias("unit"), from_end(nums, 3).alias("quantity"),
+            price.try_cast("bigint").alias("unit_price"), amount.try_cast("bigint").alias("amount"),
+            F.when(F.size(words) > 3, from_end(words, 1)).otherwise(F.lit("")).alias("maker"),
+            F.lit(V.DEFAULT_CATEGORY).alias("category"),
+        ))
+
+    # A one-element transform names the split once, however often it is read.
+    return F.get(F.transform(F.array(split), item), F.lit(0))
+
+
+def positional_items(rows: DataFrame, min_amount: int, skip_words: list[str], min_name: int = 2) -> DataFrame:
+    """Items of rows that carry unit_name, read by position."""
+    found = rows.withColumn("item", _positional_item(F.lit(min_amount), skip_words, min_name))
+    return found.filter("item IS NOT NULL").select(
+        *SHEET, "row_idx", "unit_name", *[f"item.{c}" for c in ITEM_COLUMNS[4:]]
     )
 
 
-def _with_unit_name(rows: DataFrame, top_rows: int, box_is_blank: bool, box_start_ok: bool) -> DataFrame:
-    """Unit name from the first usable cell of the top rows; the sheet name otherwise."""
+def _title(box_is_blank: bool, box_start_ok: bool) -> Column:
+    """First usable cell of a row, if it can be a title."""
     def usable(c: Column) -> Column:
         ok = (strip(c) != "") & ~c.contains(V.UNIT_TITLE_WORD) & ~c.contains(V.ATTACHMENT_MARK)
         return ok & (c != V.BOX_MARK) if box_is_blank else ok
 
     first = F.get(F.filter("cells", usable), F.lit(0))
-    good = (F.length(first) > 2) & (F.lit(box_start_ok) | ~first.startswith(V.BOX_MARK))
-    titles = (
-        rows.filter(F.col("row_idx") < top_rows)
-        .filter(good)
-        .groupBy(*SHEET)
-        .agg(F.min(F.struct("row_idx", first.alias("title")))["title"].alias("title"))
-    )
-    return rows.join(titles, SHEET, "left").withColumn("unit_name", F.coalesce("title", "sheet")).drop("title")
+    return F.when((F.length(first) > 2) & (F.lit(box_start_ok) | ~first.startswith(V.BOX_MARK)), first)
 
 
-def parse_standard_positional(rows: DataFrame) -> DataFrame:
-    named = _with_unit_name(
-        rows.filter(contains_any(F.col("sheet"), V.LEGACY_SHEET_WORDS)), 4, box_is_blank=True, box_start_ok=False
-    )
-    return positional_items(named, V.MIN_AMOUNT, V.LEGACY_SKIP_WORDS)
+def _fixed_cell(i: int) -> Column:
+    return F.coalesce(strip(F.get("cells", F.lit(i))), F.lit(""))
 
 
-def parse_assembly_positional(rows: DataFrame) -> DataFrame:
-    kept = rows.filter(
-        ~F.col("sheet").isin(*V.LEGACY_ASSEMBLY_SKIP_SHEETS)
-        & ~contains_any(_joined(), V.LEGACY_ASSEMBLY_SKIP_WORDS)
-    )
-    return positional_items(kept.withColumn("unit_name", F.col("sheet")), V.MIN_AMOUNT, V.LEGACY_SKIP_WORDS)
+def _fixed_title() -> Column:
+    """Unit name of a fixed-column sheet, from its first row; null where the marker is missing."""
+    marker = F.coalesce(F.get("cells", F.lit(1)), F.lit(""))
+    named = F.when(_fixed_cell(2) != "", _fixed_cell(2)).otherwise(F.col("sheet"))
+    return F.when((F.col("row_idx") == 0) & contains_any(marker, V.FIXED_LAYOUT_MARKERS), named)
 
 
-def parse_installation(rows: DataFrame) -> DataFrame:
-    named = _with_unit_name(
-        rows.filter(F.col("sheet").contains(V.INSTALL_SHEET_WORD)), 4, box_is_blank=True, box_start_ok=True
-    )
-    kept = named.filter(~contains_any(_joined(), V.LEGACY_SKIP_WORDS))
-    return positional_items(kept, V.INSTALL_MIN_AMOUNT, V.LEGACY_SKIP_WORDS)
+def _layout(name: str) -> Column:
+    return F.col("layout") == name
 
 
-def parse_fixed(rows: DataFrame) -> DataFrame:
-    """Fixed-column layout: marker in the second cell of row 0, data from row 2, columns 2 to 8."""
-    def cell(i: int) -> Column:
-        return F.coalesce(strip(F.get("cells", F.lit(i))), F.lit(""))
+def parse_tagged(rows: DataFrame) -> DataFrame:
+    """Items of cleaned rows, each by the positional parser that its `layout` names; one scan, one exchange.
 
-    marker = F.coalesce(F.get("cells", F.lit(1)), F.lit(""))
-    heads = rows.filter((F.col("row_idx") == 0) & contains_any(marker, V.FIXED_LAYOUT_MARKERS)).select(
-        *SHEET, F.when(cell(2) != "", cell(2)).otherwise(F.col("sheet")).alias("unit_name")
+    standard, assembly, install: items by position, with the sheets, titles and limits of the
+    layout. fixed: marker in the second cell of row 0, data from row 2, columns 2 to 8.
+    """
+    sheet = F.col("sheet")
+    wanted = (
+        F.when(_layout("standard"), contains_any(sheet, V.LEGACY_SHEET_WORDS))
+        .when(_layout("assembly"), ~sheet.isin(*V.LEGACY_ASSEMBLY_SKIP_SHEETS))
+        .when(_layout("install"), sheet.contains(V.INSTALL_SHEET_WORD))
+        .when(_layout("fixed"), F.lit(True))
     )
-    name = strip(F.regexp_replace(F.get("cells", F.lit(2)), f"^[{V.BULLETS}]+", ""))
-    digits = F.regexp_replace("item_name", "[,.]", "")
+    offer = F.when(F.col("row_idx") < 4, (
+        F.when(_layout("standard"), _title(True, False)).when(_layout("install"), _title(True, True))
+        .when(_layout("fixed"), _fixed_title())
+    ))
+    titled = segmented(rows.filter(wanted), SHEET, {"unit_title": offer}).withColumn(
+        "unit_name", F.coalesce("unit_title", F.when(~_layout("fixed"), sheet))
+    )
+    skipped = (
+        F.when(_layout("assembly"), contains_any(_joined(), V.LEGACY_ASSEMBLY_SKIP_WORDS))
+        .when(_layout("install"), contains_any(_joined(), V.LEGACY_SKIP_WORDS)).otherwise(F.lit(False))
+    )
+    least = F.when(_layout("install"), F.lit(V.INSTALL_MIN_AMOUNT)).otherwise(F.lit(V.MIN_AMOUNT))
     return (
-        rows.filter((F.col("row_idx") >= 2) & (F.size("cells") >= 7))
-        .join(heads, SHEET)
-        .withColumns({
-            "item_name": name, "spec": cell(3), "unit": cell(4), "quantity": to_double(cell(5)),
-            "unit_price": to_long(cell(6)), "amount": F.coalesce(to_long(cell(7)), F.lit(0)), "maker": cell(8),
-        })
-        .filter(
-            (F.length("item_name") >= 2) & ~F.col("item_name").startswith("0") & ~digits.rlike(r"(?U)^\d+$")
-            & ~contains_any(F.col("item_name"), V.LEGACY_SKIP_WORDS)
-        )
-        .filter((F.col("unit_price") > 0) & (F.col("amount") >= V.MIN_AMOUNT))
-        .withColumn("category", F.lit(V.DEFAULT_CATEGORY))
-        .select(*ITEM_COLUMNS)
+        titled.filter(~skipped & F.col("unit_name").isNotNull())
+        .withColumn("item", F.when(_layout("fixed"), _fixed_item()).otherwise(_positional_item(least, V.LEGACY_SKIP_WORDS, 2)))
+        .filter("item IS NOT NULL")
+        .select(*SHEET, "row_idx", "unit_name", *[f"item.{c}" for c in ITEM_COLUMNS[4:]])
+    )
+
+
+def _fixed_item() -> Column:
+    """The item of a row of the fixed-column layout, or null."""
+    name = strip(F.regexp_replace(F.get("cells", F.lit(2)), f"^[{V.BULLETS}]+", ""))
+    price, amount = to_long(_fixed_cell(6)), F.coalesce(to_long(_fixed_cell(7)), F.lit(0))
+    good = (
+        (F.col("row_idx") >= 2) & (F.size("cells") >= 7)
+        & (F.length(name) >= 2) & ~name.startswith("0") & ~F.regexp_replace(name, "[,.]", "").rlike(r"(?U)^\d+$")
+        & ~contains_any(name, V.LEGACY_SKIP_WORDS) & (price > 0) & (amount >= V.MIN_AMOUNT)
     )
+    return F.when(good, F.struct(
+        name.alias("item_name"), _fixed_cell(3).alias("spec"), _fixed_cell(4).alias("unit"),
+        to_double(_fixed_cell(5)).alias("quantity"), price.alias("unit_price"), amount.alias("amount"),
+        _fixed_cell(8).alias("maker"), F.lit(V.DEFAULT_CATEGORY).alias("category"),
+    ))
+
+
+def _parse_as(layout: str, rows: DataFrame) -> DataFrame:
+    return parse_tagged(rows.withColumn("layout", F.lit(layout)))
+
+
+def parse_standard_positional(rows: DataFrame) -> DataFrame:
+    return _parse_as("standard", rows)
+
+
+def parse_assembly_positional(rows: DataFrame) -> DataFrame:
+    return _parse_as("assembly", rows)
+
+
+def parse_installation(rows: DataFrame) -> DataFrame:
+    return _parse_as("install", rows)
 
 
-PARSERS = {
-    "standard": parse_standard_positional,
-    "assembly": parse_assembly_positional,
-    "install": parse_installation,
-    "fixed": parse_fixed,
-}
+def parse_fixed(rows: DataFrame) -> DataFrame:
+    return _parse_as("fixed", rows)
 
 
 def with_file_meta(items: DataFrame, file_meta: DataFrame) -> DataFrame:
@@ -148,13 +164,12 @@ def files_without_meta(rows: DataFrame, file_meta: DataFrame) -> DataFrame:
 
 
 def parse_by_layout(rows: DataFrame, file_meta: DataFrame) -> DataFrame:
-    """Each file through the parser its metadata names, then the metadata itself."""
-    layouts = file_meta.select("file_name", "layout")
-    tagged = rows.join(layouts, "file_name")
-    parts = [parse(tagged.filter(F.col("layout") == layout)) for layout, parse in PARSERS.items()]
-    items = parts[0]
-    for part in parts[1:]:
-        items = items.unionByName(part)
+    """Each file through the parser its metadata names, then the metadata itself.
+
+    The layout is joined on once; every row then takes the parser of its layout in one scan.
+    """
+    tagged = rows.join(file_meta.select("file_name", "layout"), "file_name")
+    items = parse_tagged(tagged)
     names = rows.select("file_id", "file_name").distinct()
     return with_file_meta(items.join(names, "file_id"), file_meta)
 
@@ -167,7 +182,8 @@ def parse_upload(sheet_rows: DataFrame) -> DataFrame:
     rows = sheet_rows.withColumn("cells", clean_cells(F.col("cells"))).filter(
         contains_any(F.col("sheet"), V.UPLOAD_ITEM_SHEET_WORDS + V.UPLOAD_SUMMARY_SHEET_WORDS)
     )
-    named = _with_unit_name(rows, 3, box_is_blank=False, box_start_ok=False)
+    title = F.when(F.col("row_idx") < 3, _title(box_is_blank=False, box_start_ok=False))
+    named = segmented(rows, SHEET, {"unit_title": title}).withColumn("unit_name", F.coalesce("unit_title", "sheet"))
     items = positional_items(named, V.MIN_AMOUNT, V.UPLOAD_SKIP_WORDS, min_name=1)
     return dedupe_items(items)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
 from quotelens.functions.text import any_of, contains_any, one_line, strip, to_double, to_long_strict
+from quotelens.plans.segments import segmented
 
 TABLE = ["file_id", "page", "table_idx"]
 
@@ -35,26 +36,17 @@ def page_meta(page_text: DataFrame, addressee: str = r".+?") -> DataFrame:
 
 
 def table_bodies(page_table: DataFrame) -> DataFrame:
-    """Rows below the first header row of price tables.
-
-    The header latch is the lowest header row number of a table, so one aggregate and a
-    join replace a running window over the table.
-    """
+    """Rows below the first header row of price tables; a long table is latched range by range."""
     rows = page_table.withColumn("cells", F.transform("cells", one_line))
     text = F.concat_ws(" ", "cells")
     is_header = (F.size("cells") >= 7) & contains_any(text, V.PAGE_HEADER_WORDS)
-    heads = (
-        rows.groupBy(*TABLE)
-        .agg(
-            F.max((F.col("row_idx") < 3) & contains_any(text, V.PAGE_TABLE_WORDS)).alias("priced"),
-            F.min(F.when(is_header, F.col("row_idx"))).alias("header_idx"),
-        )
-        .filter("priced AND header_idx IS NOT NULL")
-        .select(*TABLE, "header_idx")
-    )
-    return rows.filter((F.size("cells") >= 7) & ~is_header).join(heads, TABLE).filter(
-        F.col("row_idx") > F.col("header_idx")
-    ).drop("header_idx")
+    latched = segmented(rows, TABLE, {
+        "header": F.when(is_header, F.lit(True)),
+        "priced": F.when((F.col("row_idx") < 3) & contains_any(text, V.PAGE_TABLE_WORDS), F.lit(True)),
+    })
+    return latched.filter(
+        (F.size("cells") >= 7) & ~is_header & F.col("priced") & (F.col("row_idx") > F.col("header_at"))
+    ).select(*rows.columns)
 
 
 def skip_item(name: Column) -> Column:

@@ -1,10 +1,15 @@
 
+import pytest
+from pyspark.sql import functions as F
+
 from quotelens import schemas
 from quotelens.operators import headers as H
 from quotelens.operators import items as I
 from quotelens.operators import layout as L
 from quotelens.operators import legacy as G
 from quotelens.operators import pages as P
+from quotelens.plans import segments
+from quotelens.plans.checkpoints import written
 
 
 def _sheets(spark, sheets, file_name="견적서(화인상사).xlsx", file_id="f1"):
@@ -132,3 +137,62 @@ def test_html_prices(spark):
     df = spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")
     got = [tuple(r[c] for c in ("name", "spec", "unit", "price", "price_min", "price_max")) for r in P.html_prices(df).collect()]
     assert got == [("볼트", "M3&M4", "EA", 1000, 1000, 1001)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_ranges_of_a_sheet_give_what_the_sheet_gives(spark, monkeypatch, size):
+    """Numbers, headers, titles and items do not depend on where a sheet is cut."""
+    lead = [["", None], ["x"], [""]] * size
+    sheets = [("갑지", COVER[1]), ("A ASSY", ASSY[1]), ("B ASSY", [*lead, *ASSY[1] * 3]), ("C ASSY", [[""]] * 40 + ASSY[1])]
+    raw = _sheets(spark, sheets).repartition(5)
+    assembly = _sheets(spark, [("10", [["공정 10"], *ASSY[1]]), ("20", [[" "]] * 9 + [["이십"], *ASSY[1] * 2])], file_id="f2")
+    tagged = raw.withColumn("layout_group", F.lit("standard")).unionByName(assembly.withColumn("layout_group", F.lit("assembly")))
+    page = spark.createDataFrame(
+        [("f", 1, t, i, r) for t in (0, 1) for i, r in enumerate([["x"] * 7, ["단가(원)"] + ["품 명"] * 7, *[["a", "b", "c"] * 3] * 30])],
+        "file_id string, page int, table_idx int, row_idx int, cells array<string>")
+
+    def everything():
+        return [
+            sorted(map(str, df.collect())) for df in (
+                L.clean_rows(raw), I.parse_items(tagged), G.parse_upload(raw), G.parse_standard_positional(L.clean_rows(raw)),
+                P.table_bodies(page), I.latched_rows(tagged),
+            )
+        ]
+
+    whole = everything()
+    monkeypatch.setattr(segments, "SEGMENT_ROWS", size)
+    assert everything() == whole and all(whole[:5])
+
+
+def test_a_sheet_of_a_million_rows_is_many_tasks(spark):
+    rows = spark.range(0, 1_000_000, numPartitions=8).select(
+        F.lit("f").alias("file_id"), F.lit("n.xlsx").alias("file_name"), F.lit(0).alias("sheet_idx"), F.lit("S").alias("sheet"),
+        F.col("id").cast("int").alias("row_idx"),
+        F.when(F.col("id") % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.col("id").cast("string"))).alias("cells"),
+    )
+    ranges = segments._ranges(L.filled_rows(rows), L.SHEET, {}, True, "row_idx", 1 << 16)
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "hashpartitioning(file_id#" in plan and "__segment#" in plan.split("hashpartitioning", 1)[1].split(")")[0]
+    ranged = ranges.groupBy("__segment").count().collect()
+    assert len(ranged) == 16 and max(r["count"] for r in ranged) <= 1 << 16
+    cleaned = L.clean_rows(rows)
+    assert cleaned.agg(F.max("row_idx"), F.countDistinct("row_idx")).head() == (799_999, 800_000)
+    odd = cleaned.filter(F.col("row_idx") != F.col("cells")[0].cast("int") - F.floor(F.col("cells")[0].cast("int") / 5) - 1)
+    assert odd.isEmpty()
+
+
+def test_both_layouts_share_one_scan_and_one_exchange(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    _sheets(spark, [COVER, ASSY]).withColumn("layout_group", F.lit("standard")).write.parquet(path)
+    raw = spark.read.parquet(path)
+    plans = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString())), written(df, name))[1])
+    items, tagged = I.parse_items(raw), G.parse_tagged(L.filled_rows(raw).withColumn("layout", F.lit("standard")))
+    for plan in [p for name, p in plans if name == "segments"]:
+        assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
+    for df in (items, tagged):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 0 and plan.count("Scan parquet") == 1
+    assert items.count() == 3

@@ -20,16 +20,18 @@ def _rows(spark, sf):
     return L.clean_rows(T.sheet_rows(spark, sf))
 
 
-def _kind(rows, *kinds):
-    return rows.filter((F.col("file_id").cast("bigint") % 4).isin(*kinds))
+def _routed(spark, sf):
+    """Raw rows of every workbook with its detected layout."""
+    raw = T.sheet_rows(spark, sf)
+    return raw.join(L.detect_layout(raw), "file_id")
 
 
-def _std(spark, sf):
-    return _kind(_rows(spark, sf), 0, 1)
+def _of(layout, routed):
+    return routed.filter(F.col("layout_group") == layout).drop("layout_group")
 
 
-def _asm(spark, sf):
-    return _kind(_rows(spark, sf), 2)
+def _items(spark, sf, layout):
+    return _of(layout, I.parse_items(_routed(spark, sf)))
 
 
 @query("src_rows_clean", r"""
@@ -77,29 +79,28 @@ def prs_skip_sheet_asm(spark, sf):
 
 @query("prs_unit_name_std", sql("SELECT file_id, 'UNIT ' || project AS unit_name FROM files WHERE kind < 2", "files"))
 def prs_unit_name_std(spark, sf):
-    return I.heads_standard(_std(spark, sf)).select("file_id", "unit_name")
+    return I.heads_standard(_of("standard", L.clean_rows(_routed(spark, sf)))).select("file_id", "unit_name")
 
 
 @query("prs_unit_name_asm", sql("SELECT file_id, unnest(['공정 10', '공정 20']) AS unit_name FROM files WHERE kind = 2", "files"))
 def prs_unit_name_asm(spark, sf):
-    return I.heads_assembly(_asm(spark, sf)).select("file_id", "unit_name")
+    return I.heads_assembly(_of("assembly", L.clean_rows(_routed(spark, sf)))).select("file_id", "unit_name")
 
 
 @query("prs_header_row", sql("""
 SELECT file_id, 1 AS sheet_idx, 1 AS header_idx FROM files WHERE kind < 2 UNION ALL
 SELECT file_id, unnest([1, 2]), 1 FROM files WHERE kind = 2""", "files"))
 def prs_header_row(spark, sf):
-    rows = _rows(spark, sf)
-    columns = ["file_id", "sheet_idx", "header_idx"]
-    std = I.heads_standard(_kind(rows, 0, 1, 3)).select(columns)
-    return std.unionByName(I.heads_assembly(_kind(rows, 2)).select(columns))
+    """Header row of every sheet that has one, whatever the layout, from one scan."""
+    latched = I.latched_rows(_routed(spark, sf))
+    return latched.filter("row_idx = header_idx").select("file_id", "sheet_idx", F.col("header_idx").cast("int").alias("header_idx"))
 
 
 @query("prs_map_columns_std", sql("""
 SELECT file_id, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price, 6 AS pos_amount, 7 AS pos_maker
 FROM files WHERE kind < 2""", "files"))
 def prs_map_columns_std(spark, sf):
-    mapped = I.map_columns_standard(I.heads_standard(_std(spark, sf)))
+    mapped = I.map_columns_standard(I.heads_standard(_of("standard", L.clean_rows(_routed(spark, sf)))))
     return mapped.select("file_id", *[f"pos_{f}" for f in I.FIELDS])
 
 
@@ -107,32 +108,32 @@ def prs_map_columns_std(spark, sf):
 SELECT file_id, unnest([1, 2]) AS sheet_idx, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price,
   6 AS pos_amount FROM files WHERE kind = 2""", "files"))
 def prs_map_columns_asm(spark, sf):
-    mapped = I.map_columns_assembly(I.heads_assembly(_asm(spark, sf)))
+    mapped = I.map_columns_assembly(I.heads_assembly(_of("assembly", L.clean_rows(_routed(spark, sf)))))
     return mapped.select("file_id", "sheet_idx", *[f"pos_{f}" for f in I.FIELDS if f != "maker"])
 
 
 @query("prs_row_std", sql("SELECT * FROM std_items", "std_items"))
 def prs_row_std(spark, sf):
-    return I.parse_standard(_std(spark, sf))
+    return _items(spark, sf, "standard")
 
 
 @query("prs_row_asm", sql("SELECT * FROM asm_items", "asm_items"))
 def prs_row_asm(spark, sf):
-    return I.parse_assembly(_asm(spark, sf))
+    return _items(spark, sf, "assembly")
 
 
 @query("prs_header_std", sql("""
 SELECT file_id, 'V' || customer AS vendor, 'Q-' || header_id AS quote_no, quote_date, project, total AS total_amount
 FROM files WHERE kind < 2""", "files"))
 def prs_header_std(spark, sf):
-    return H.header_standard(_std(spark, sf))
+    return _of("standard", H.header_fields(L.clean_rows(_routed(spark, sf))))
 
 
 @query("prs_header_asm", sql("""
 SELECT file_id, 'V' || lpad(CAST(customer AS VARCHAR), 6, '0') AS vendor, 'Q-' || header_id AS quote_no, quote_date,
   project, CAST(NULL AS BIGINT) AS total_amount FROM files WHERE kind = 2""", "files"))
 def prs_header_asm(spark, sf):
-    return H.header_assembly(_asm(spark, sf))
+    return _of("assembly", H.header_fields(L.clean_rows(_routed(spark, sf))))
 
 
 @query("win_first_hit", sql("""
@@ -176,42 +177,71 @@ FROM {source} WHERE len(nums) >= 2 AND len(words) >= 1 AND nums[-2] > 0 AND nums
   AND words[1] NOT LIKE '0%'"""
 
 
+# Every rendered row that is no line: covers, titles, headings, subtotals and notes.
+CTE["other_cells"] = """
+SELECT file_id, 0 AS sheet_idx, 1 AS row_idx, [12.0::DOUBLE] AS nums, ['견적번호', 'Q-' || header_id] AS words FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 0, 0, [], [CASE WHEN locked THEN 'IRM protected' ELSE '見積' END] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 0, 2, [], ['제출일', quote_date || ' 00:00:00'] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 0, 3, [], ['공사명 : ' || project] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 0, 4, [total::DOUBLE], ['견적금액'] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 1, 0, [], ['단위공사명', 'UNIT ' || project] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 1, 1, [], ['No', '품 명', '규격', '단위', '수량', '단 가', '금액', '메이커'] FROM files WHERE kind < 2
+UNION ALL SELECT file_id, 1, coalesce(n, 0) + 2, [1.0, 5000.0], ['소 계']
+FROM files LEFT JOIN (SELECT CAST(header_id AS VARCHAR) AS file_id, count(*) AS n FROM numbered GROUP BY 1) USING (file_id) WHERE kind < 2
+UNION ALL SELECT file_id, 0, 0, [], ['견적번호', 'Q-' || header_id] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, 0, 1, [], ['견적일', quote_date || ' 00:00:00'] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, 0, 2, [], ['상호', 'V' || lpad(CAST(customer AS VARCHAR), 6, '0')] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, 0, 3, [], ['공사명', project] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, unnest([1, 2]), 0, [], [unnest(['공정 10', '공정 20'])] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, unnest([1, 2]), 1, [], ['위치', '품 명', '규격', '단위', '수량', '단가(원)', '금액(원)'] FROM files WHERE kind = 2
+UNION ALL SELECT file_id, 0, 0, [], ['memo', project] FROM files WHERE kind = 3"""
+NEEDS["other_cells"] = ["files", "numbered"]
+CTE["all_cells"] = """
+SELECT file_id, sheet_idx, row_idx, nums, words FROM other_cells
+UNION ALL SELECT file_id, 1, rn + 1, nums, words FROM std_cells UNION ALL SELECT file_id, sheet_idx, row_idx, nums, words FROM asm_cells"""
+NEEDS["all_cells"] = ["other_cells", "std_cells", "asm_cells"]
+
+
 @query("prs_v1_split", sql("""
-SELECT file_id, rn + 1 AS row_idx, len(nums) AS n_nums, list_sum(nums) AS num_sum, array_to_string(words, '|') AS words
-FROM std_cells""", "std_cells"))
+SELECT file_id, CAST(sheet_idx AS INTEGER) AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, len(nums) AS n_nums,
+  coalesce(list_sum(nums), 0) AS num_sum, array_to_string(words, '|') AS words FROM all_cells""", "all_cells"))
 def prs_v1_split(spark, sf):
-    rows = _std(spark, sf).filter((F.col("sheet") == "ASSY-1") & (F.size("cells") == 8))
-    split = G.split_cells(rows).filter((F.col("row_idx") > 1) & (F.get("cells", F.lit(0)) != ""))
+    """Numbers and texts of every row of every sheet."""
+    split = G.split_cells(_rows(spark, sf))
     total = F.aggregate("nums", F.lit(0.0), lambda a, v: a + v)
     return split.select(
-        "file_id", "row_idx", F.size("nums").cast("bigint").alias("n_nums"), total.alias("num_sum"),
+        "file_id", "sheet_idx", "row_idx", F.size("nums").cast("bigint").alias("n_nums"), total.alias("num_sum"),
         F.concat_ws("|", "words").alias("words"),
     )
 
 
-@query("prs_v1_row", sql(_positional("std_cells", "1", "rn + 1", 1000), "std_cells"))
+_V1_ROWS = " UNION ALL ".join(
+    _positional(source, sheet, row, 1000).replace("unit_name", name + " AS unit_name", 1)
+    for source, sheet, row, name in (("std_cells", "1", "rn + 1", "'ASSY-1'"), ("asm_cells", "sheet_idx", "row_idx", "unit_name"))
+)
+
+
+@query("prs_v1_row", sql(_V1_ROWS, "std_cells", "asm_cells"))
 def prs_v1_row(spark, sf):
-    rows = _std(spark, sf).filter(F.col("sheet") == "ASSY-1")
-    orders = T.load(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("file_id"),
-        F.concat(F.lit("UNIT "), F.col("o_orderpriority")).alias("unit_name"),
-    )
-    return G.positional_items(rows.join(orders, "file_id"), V.MIN_AMOUNT, V.LEGACY_SKIP_WORDS)
+    """Every row of every sheet read by position, the sheet's name as its unit."""
+    rows = _rows(spark, sf).withColumn("unit_name", F.col("sheet"))
+    return G.positional_items(rows, V.MIN_AMOUNT, V.LEGACY_SKIP_WORDS)
 
 
 @query("prs_v1_standard", sql(_positional("std_cells", "1", "rn + 1", 1000), "std_cells"))
 def prs_v1_standard(spark, sf):
-    return G.parse_standard_positional(_std(spark, sf))
+    return G.parse_standard_positional(_rows(spark, sf))
 
 
-@query("prs_v1_assembly", sql(_positional("asm_cells", "sheet_idx", "row_idx", 1000), "asm_cells"))
+@query("prs_v1_assembly", sql(_V1_ROWS, "std_cells", "asm_cells"))
 def prs_v1_assembly(spark, sf):
-    return G.parse_assembly_positional(_asm(spark, sf))
+    """All workbooks read as assemblies: every sheet is a unit."""
+    return G.parse_assembly_positional(_rows(spark, sf))
 
 
 @query("prs_v1_install", sql(_positional("std_cells", "1", "rn + 1", 100), "std_cells"))
 def prs_v1_install(spark, sf):
-    rows = _std(spark, sf).withColumn(
+    rows = _rows(spark, sf).withColumn(
         "sheet", F.when(F.col("sheet") == "ASSY-1", F.lit("1. 공사(라인)")).otherwise(F.col("sheet"))
     )
     return G.parse_installation(rows)
@@ -302,8 +332,7 @@ def prs_v1_dispatch(spark, sf):
 
 @query("set_union_items", sql("SELECT * FROM std_items UNION ALL SELECT * FROM asm_items", "std_items", "asm_items"))
 def set_union_items(spark, sf):
-    rows = _rows(spark, sf)
-    return I.parse_standard(_kind(rows, 0, 1)).unionByName(I.parse_assembly(_kind(rows, 2)))
+    return I.parse_items(_routed(spark, sf)).drop("layout_group")
 
 
 _UPLOAD = _positional("std_cells", "1", "CASE WHEN rn IS NULL THEN 0 ELSE rn + 2 END", 1000).replace("length(words[1]) >= 2", "words[1] <> ''")
@@ -315,8 +344,7 @@ SELECT file_id, item_name, spec, unit_price, arg_min(struct_pack(a := amount, u
 FROM ({_UPLOAD}) GROUP BY 1, 2, 3, 4
 UNION ALL SELECT file_id, '소 계', '', 1, 5000, '', 500 FROM files WHERE kind < 2""", "std_cells", "files"))
 def prs_upload(spark, sf):
-    rows = _kind(T.sheet_rows(spark, sf), 0, 1)
-    return G.parse_upload(rows).select("file_id", "item_name", "spec", "unit_price", "amount", "unit", "row_idx")
+    return G.parse_upload(T.sheet_rows(spark, sf)).select("file_id", "item_name", "spec", "unit_price", "amount", "unit", "row_idx")
 
 
 @query("ded_items", sql("""
