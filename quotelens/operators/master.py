@@ -45,10 +45,11 @@ def issue_ids(new_rows: DataFrame, start: int, prefix: str, width: int, order: l
     return numbered.withColumn("item_id", padded_id(prefix, width, F.col("__no"))).drop("__no")
 
 
-def sync_master(source: DataFrame, master: DataFrame, now: Column | None = None) -> DataFrame:
+def sync_master(source: DataFrame, master: DataFrame, now: Column | None = None, start: int | None = None) -> DataFrame:
     """New master snapshot: insert unknown keys, refresh unreviewed ones, protect reviewed ones.
 
-    Kept rows keep item_id and created_at; rows without fresh aggregates stay as they are.
+    Kept rows keep item_id and created_at; rows without fresh aggregates stay as they are. New ids
+    go on from `start`, or from the largest id of `master`.
     """
     now = F.current_timestamp() if now is None else now
     fresh = source.select(*KEYS, F.lit(True).alias("__fresh"), *[F.col(c).alias(f"__{c}") for c in PRICES])
@@ -62,7 +63,7 @@ def sync_master(source: DataFrame, master: DataFrame, now: Column | None = None)
     }).select(*MASTER_COLUMNS)
 
     unknown = joined.filter("__stored IS NULL").select(*KEYS, *[F.col(f"__{c}").alias(c) for c in PRICES])
-    added = issue_ids(unknown, next_id_start(merged), "SP-", 5, KEYS).select(
+    added = issue_ids(unknown, next_id_start(merged) if start is None else start, "SP-", 5, KEYS).select(
         "item_id", *KEYS, *PRICES,
         F.lit(False).alias("manually_reviewed"), F.lit("").alias("review_note"),
         now.alias("created_at"), now.alias("updated_at"),

@@ -65,11 +65,16 @@ def standard_price(
     def key_part(name: str) -> Column:
         return F.coalesce(name, F.lit("")) if null_safe else F.col(name)
 
-    keys = ["item_name", "spec", "unit"]
     reduced = _reduced(
         lines,
         [F.col("item_name"), key_part("spec").alias("spec"), key_part("unit_norm").alias("unit")],
     )
+    return priced(reduced, min_samples, with_maker, blank_vendors)
+
+
+def priced(reduced: DataFrame, min_samples: int, with_maker: bool, blank_vendors: bool) -> DataFrame:
+    """Standard prices of totals per key x vendor x maker x category."""
+    keys = ["item_name", "spec", "unit"]
     aggregates = [
         F.max("category").alias("category"),
         F.sum("n").alias("sample_count"),
