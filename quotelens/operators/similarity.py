@@ -13,9 +13,11 @@ from quotelens.functions.grams import char_grams
 from quotelens.functions.text import search_text, strip
 from quotelens.functions.vectors import cosine
 from quotelens.plans.checkpoints import written
+from quotelens.plans.ranking import with_running_number
 
-# First probe: the rarest grams of a query that carry this share of its squared weight.
-_FIRST_PROBE = 0.5
+# Items a block holds, and blocks a region holds.
+_BLOCK_ITEMS = 8
+_REGION_BLOCKS = 64
 # Bounds are compared with this slack, wider than the rounding of a similarity.
 _SLACK = 2e-6
 _DIGITS = 6
@@ -23,15 +25,16 @@ _DIGITS = 6
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(item_id, gram, weight) with unit-length items, vocabulary(gram, df, idf)."""
+    """Items of length one, kept block by block.
+
+    postings(block, item_id, gram, weight); maxima(region, block, gram, top), the largest weight of a
+    gram in a block; vocabulary(gram, df, idf).
+    """
 
     postings: DataFrame
+    maxima: DataFrame
     vocabulary: DataFrame
 
-    def saved(self) -> "TextIndex":
-        """Both tables written once to the shared folder."""
-        return TextIndex(written(self.postings, "postings"), written(self.vocabulary, "vocabulary"))
-
 
 def _term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """tf per (key, gram). Texts are placed by key first, so the aggregate needs no shuffle of grams."""
@@ -50,96 +53,92 @@ def _unit_length(weighted: DataFrame, key: str) -> DataFrame:
 
 
 def build_index(master: DataFrame) -> TextIndex:
-    """Index of item_id, item_name, spec: idf = ln((1 + N) / (1 + df)) + 1, items of length one."""
+    """Index of item_id, item_name, spec: idf = ln((1 + N) / (1 + df)) + 1, items of length one.
+
+    Items stand in the order of their weightiest gram, then of their text, so that those which
+    share what matters share a block and its maxima are close to their weights.
+    """
     texts = master.select("item_id", search_text(F.col("item_name"), F.col("spec")).alias("text"))
-    counts = _term_counts(texts, "item_id", "text")
+    counts = written(_term_counts(texts, "item_id", "text"), "term-counts")
     n = master.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vocabulary = (
+    vocabulary = written(
         counts.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+        .withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1),
+        "vocabulary",
     )
     weighted = counts.join(vocabulary.select("gram", "idf"), "gram").select(
         "item_id", "gram", (F.col("tf") * F.col("idf")).alias("weight")
     )
-    return TextIndex(_unit_length(weighted, "item_id"), vocabulary)
+    weights = written(_unit_length(weighted, "item_id"), "weights")
+    heads = weights.groupBy("item_id").agg(F.min(F.struct(-F.col("weight"), "gram"))["gram"].alias("head"))
+    order = [F.col("head"), F.col("text"), F.col("item_id")]
+    placed = with_running_number(
+        texts.groupBy("item_id").agg(F.min("text").alias("text")).join(heads, "item_id"), order, "place", 0
+    ).select("item_id", F.floor(F.col("place") / _BLOCK_ITEMS).alias("block"))
+    postings = written(weights.join(placed, "item_id").select("block", "item_id", "gram", "weight"), "postings")
+    region = F.floor(F.col("block") / _REGION_BLOCKS).alias("region")
+    maxima = postings.groupBy(region, "block", "gram").agg(F.max("weight").alias("top"))
+    return TextIndex(postings, written(maxima, "maxima"), vocabulary)
 
 
 def _query_grams(queries: DataFrame, index: TextIndex) -> DataFrame:
-    """Weighted grams of the distinct queries; `left` is the squared weight from a gram on, rarest first."""
+    """Weighted grams of the distinct queries, of length one."""
     counts = _term_counts(queries.select("query").distinct().filter(strip(F.col("query")) != ""), "query", "query")
     weighted = counts.join(index.vocabulary, "gram").select(
-        "query", "gram", "df", (F.col("tf") * F.col("idf")).alias("weight")
-    )
-    onward = Window.partitionBy("query").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing)
-    return _unit_length(weighted, "query").withColumn(
-        "left", F.sum(F.col("weight") * F.col("weight")).over(onward)
+        "query", "gram", (F.col("tf") * F.col("idf")).alias("weight")
     )
+    return _unit_length(weighted, "query").withColumnRenamed("weight", "wq")
 
 
-def _partial_scores(grams: DataFrame, index: TextIndex) -> DataFrame:
-    """Dot product over the given grams and the item weight they cover.
-
-    A gram that many items share is split by AQE's skew join; it also has the lowest idf and
-    is probed last, mostly not at all.
-    """
-    hits = grams.select("query", "gram", F.col("weight").alias("wq")).join(index.postings, "gram")
-    return hits.groupBy("query", "item_id").agg(
-        F.sum(F.col("wq") * F.col("weight")).alias("dot"),
-        F.sum(F.col("weight") * F.col("weight")).alias("covered"),
-    )
+def _reach(asked: DataFrame, maxima: DataFrame, on: list[str], *to: str) -> DataFrame:
+    """The most that any item of a region or block can score: weights are positive, so maxima bound them all."""
+    return asked.join(maxima, on).groupBy("query", *to).agg(F.sum(F.col("wq") * F.col("top")).alias("reach"))
 
 
 def _full_scores(pairs: DataFrame, grams: DataFrame, index: TextIndex) -> DataFrame:
-    """Similarity of given (query, item) pairs over all their grams."""
+    """Similarity of every item of the given (query, block) pairs that shares a gram."""
     return (
-        pairs.join(grams.select("query", "gram", F.col("weight").alias("wq")), "query")
-        .join(index.postings, ["item_id", "gram"])
+        pairs.select("query", "block").join(grams, "query")
+        .join(index.postings, ["block", "gram"])
         .groupBy("query", "item_id")
         .agg(F.round(F.sum(F.col("wq") * F.col("weight")), _DIGITS).alias("similarity"))
     )
 
 
-def _floors(partial: DataFrame, grams: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
-    """Per query a similarity that its n best items reach: that of n promising items, in full."""
-    best_first = Window.partitionBy("query").orderBy(F.desc("dot"), "item_id")
-    promising = (
-        partial.withColumn("__n", F.row_number().over(best_first)).filter(F.col("__n") <= n).select("query", "item_id")
-    )
-    reached = _full_scores(promising, grams, index).groupBy("query").agg(
-        F.when(F.count(F.lit(1)) == n, F.min("similarity")).alias("reached")
-    )
-    floor = F.greatest(F.coalesce("reached", F.lit(0.0)), F.lit(min_similarity)) - _SLACK
-    return grams.select("query").distinct().join(reached, "query", "left").select("query", floor.alias("floor"))
+def _blocks_in(regions: DataFrame, grams: DataFrame, index: TextIndex) -> DataFrame:
+    """(query, block, reach) of the blocks of the given (query, region) pairs."""
+    asked = regions.select("query", "region").join(grams, "query")
+    return _reach(asked, index.maxima, ["region", "gram"], "block")
 
 
-def search_text_index(queries: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
-    """Top n items per query with similarity above min_similarity.
-
-    Exact, without scoring every item that shares any gram. Weights are positive, so the
-    score over some grams is a lower bound, and by Cauchy-Schwarz the grams not looked at
-    add at most (query weight left * item weight left)^0.5. The rarest grams are probed
-    first; scoring their n best items in full gives a floor. Commoner grams are probed only
-    while an item not met so far could still reach the floor, and items whose bound stays
-    below it are dropped before they are scored in full.
+def reachable_blocks(grams: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
+    """(query, block): the blocks that can hold one of the query's n best items.
+
+    A query meets the regions that share a gram as one bound each. The best blocks of its best
+    region are scored in full, which gives a floor; regions, and then blocks of the regions left,
+    whose bound stays below the floor are never looked into.
     """
+    least = min_similarity - _SLACK
+    regional = index.maxima.groupBy("region", "gram").agg(F.max("top").alias("top"))
+    regions = written(_reach(grams, regional, ["gram"], "region").filter(F.col("reach") >= least), "region-bounds")
+    best = regions.groupBy("query").agg(F.max_by("region", F.struct("reach", "region")).alias("region"))
+    order = Window.partitionBy("query").orderBy(F.desc("reach"), "block")
+    enough = -(-n // _BLOCK_ITEMS)
+    first = _blocks_in(best, grams, index).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= enough)
+    highest = Window.partitionBy("query").orderBy(F.desc("similarity"))
+    reached = _full_scores(first, grams, index).withColumn("__n", F.row_number().over(highest)).filter(F.col("__n") == n)
+    floors = written(reached.select("query", (F.col("similarity") - _SLACK).alias("floor")), "floors")
+    floor = F.greatest(F.coalesce("floor", F.lit(least)), F.lit(least))
+    open_regions = regions.join(floors, "query", "left").filter(F.col("reach") >= floor)
+    return _blocks_in(open_regions, grams, index).join(floors, "query", "left").filter(
+        F.col("reach") >= floor).select("query", "block")
+
+
+def search_text_index(queries: DataFrame, index: TextIndex, n: int, min_similarity: float) -> DataFrame:
+    """Top n items per query with similarity above min_similarity; exact, see `reachable_blocks`."""
     grams = written(_query_grams(queries, index), "query-grams")
-    first = written(_partial_scores(grams.filter(F.col("left") > _FIRST_PROBE), index), "first-probe")
-    floors = written(_floors(first, grams, index, n, min_similarity), "floors")
-    needed = F.col("left") >= F.col("floor") * F.col("floor")
-    later = grams.filter(F.col("left") <= _FIRST_PROBE).join(floors, "query")
-    partial = (
-        first.unionByName(_partial_scores(later.filter(needed), index))
-        .groupBy("query", "item_id")
-        .agg(F.sum("dot").alias("dot"), F.sum("covered").alias("covered"))
-    )
-    # Squared query weight that neither probe looked at.
-    unseen = later.filter(~needed).groupBy("query").agg(F.max("left").alias("unseen"))
-    limits = floors.join(unseen, "query", "left")
-    reach = F.col("dot") + F.sqrt(
-        F.coalesce("unseen", F.lit(0.0)) * F.greatest(F.lit(1.0) - F.col("covered"), F.lit(0.0))
-    )
-    pairs = partial.join(limits, "query").filter(reach >= F.col("floor")).select("query", "item_id")
+    pairs = written(reachable_blocks(grams, index, n, min_similarity), "reachable")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "item_id")
     return (
         _full_scores(pairs, grams, index)

@@ -1,9 +1,24 @@
-"""Stored vector index: item columns next to an array<float> column."""
+"""Stored vectors: item columns next to an array<float> column, and an index of cells for many queries at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
+
+from quotelens.functions.vectors import dot
+from quotelens.plans.checkpoints import written
+
+CELLS = 64
+_DIGITS = 6
+# Wider than the rounding of a score and of an angle.
+_SLACK = 2e-6
 
 
 def save_vectors(index: DataFrame, path: str) -> None:
@@ -12,3 +27,111 @@ def save_vectors(index: DataFrame, path: str) -> None:
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """rows(item_id, unit, cell) with vectors of length one, and per cell its centre and radius, an angle."""
+
+    rows: DataFrame
+    cells: DataFrame
+
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> VectorIndex:
+        return VectorIndex(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/cells"))
+
+
+def _unit(vector: Column) -> Column:
+    """The vector at length one; a vector without length stays as it is."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(dot(vector, vector))
+    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
+
+
+def _rows_of(batch: pa.Array, dims: int) -> np.ndarray:
+    return batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dims)
+
+
+def _nearest_cell(centers: np.ndarray):
+    kind = StructType([StructField("cell", IntegerType()), StructField("cosine", DoubleType())])
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            cosines = _rows_of(batch, centers.shape[1]) @ centers.T
+            yield pa.StructArray.from_arrays(
+                [pa.array(cosines.argmax(axis=1).astype(np.int32)), pa.array(cosines.max(axis=1))], kind.names)
+
+    return run
+
+
+def build_vector_index(vectors: DataFrame, id_column: str = "item_id", cells: int = CELLS) -> VectorIndex:
+    """Every vector goes to the nearest of at most `cells` centres, vectors of the table drawn by hash of their id.
+
+    The centres are all that reaches the driver. Null vectors, and vectors of another length than
+    the longest, are left out.
+    """
+    kept = vectors.filter(F.col("embedding").isNotNull())
+    dims = kept.agg(F.max(F.size("embedding"))).head()[0] or 0
+    units = written(kept.filter(F.size("embedding") == dims).select(
+        F.col(id_column).alias("item_id"), _unit(F.col("embedding")).alias("unit")), "unit-vectors")
+    drawn = units.filter(dot(F.col("unit"), F.col("unit")) > 0).orderBy(F.xxhash64("item_id"), "item_id").limit(cells).collect()
+    centers = np.array([r["unit"] for r in drawn] or [[0.0] * dims], np.float64).reshape(-1, dims)
+    near = units.withColumn("near", _nearest_cell(centers)("unit"))
+    rows = written(near.select("item_id", "unit", F.col("near.cell").alias("cell"), F.col("near.cosine").alias("cosine")), "cells")
+    radii = rows.groupBy("cell").agg(F.acos(F.greatest(F.least(F.min("cosine"), F.lit(1.0)), F.lit(-1.0))).alias("radius"))
+    spark = vectors.sparkSession
+    listed = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>")
+    return VectorIndex(rows.drop("cosine"), written(listed.join(radii, "cell"), "centres"))
+
+
+def _cell_bounds(numbers: np.ndarray, centers: np.ndarray, radii: np.ndarray):
+    """(cell, bound): the largest cosine a query can have with a row of each cell, its angle to the centre less the radius."""
+    kind = ArrayType(StructType([StructField("cell", IntegerType()), StructField("bound", DoubleType())]))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            angles = np.arccos(np.clip(_rows_of(batch, centers.shape[1]) @ centers.T, -1.0, 1.0))
+            bounds = np.cos(np.clip(angles - radii, 0.0, np.pi)) + _SLACK
+            flat = pa.StructArray.from_arrays(
+                [pa.array(np.tile(numbers, len(batch))), pa.array(bounds.ravel())], ["cell", "bound"])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(numbers)), flat)
+
+    return run
+
+
+def search_many(queries: DataFrame, index: VectorIndex, n: int, id_column: str = "query_id") -> DataFrame:
+    """query_id, item_id, score, rank: the n rows of largest cosine per query, ties to the smaller id.
+
+    Exact. A query is first scored against its most promising cell; the n-th score found there is a
+    floor, and only cells whose bound reaches it are looked into. A query without length scores 0 everywhere.
+    """
+    held = index.cells.orderBy("cell").collect()
+    if not held:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, score double, rank int")
+    numbers = np.array([r["cell"] for r in held], np.int32)
+    centers, radii = np.array([r["center"] for r in held]), np.array([r["radius"] for r in held])
+    asked = written(queries.filter(F.size("embedding") == centers.shape[1]).select(
+        F.col(id_column).alias("query_id"), _unit(F.col("embedding")).alias("asked")), "asked")
+    bounds = written(asked.select("query_id", F.inline(_cell_bounds(numbers, centers, radii)("asked"))), "cell-bounds")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("query_id", "cell").join(asked, "query_id").join(index.rows, "cell")
+        cosine = F.round(dot(F.col("asked"), F.col("unit")), _DIGITS)
+        return met.select("query_id", "item_id", (cosine + F.lit(0.0)).alias("score"))
+
+    def top(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+
+    home = bounds.groupBy("query_id").agg(F.max_by("cell", F.struct("bound", "cell")).alias("cell"))
+    first = written(top(scored(home)), "first-cell")
+    floors = first.filter(F.col("rank") == n).select("query_id", F.col("score").alias("floor"))
+    others = bounds.join(home, ["query_id", "cell"], "left_anti").join(floors, "query_id", "left").filter(
+        F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - _SLACK))
+    return top(first.drop("rank").unionByName(scored(others)))

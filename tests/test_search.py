@@ -39,7 +39,7 @@ def test_search_is_exact_with_a_hot_gram(spark, n):
     queries = list(dict.fromkeys(texts[:40] + ["common", "zzz", "servo motor 750W common", "bolts", "x"]))
     df = spark.createDataFrame([(q,) for q in queries + [" ", "common"]], "query string")
     got = {}
-    for r in S.search_text_index(df, S.build_index(master).saved(), n, 0.05).orderBy("query", "rank").collect():
+    for r in S.search_text_index(df, S.build_index(master), n, 0.05).orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append((r["item_id"], r["similarity"]))
     want = {q: _model(items, q, n, 0.05) for q in queries}
     for q in queries:
@@ -106,3 +106,30 @@ def test_market_search_against_brute_force(spark, n):
         lowered = k.lower()
         visit = next((cs for ws, cs in V.MARKET_CATEGORIES if any(w in lowered for w in ws)), V.MARKET_FALLBACK)
         assert got.get(k, []) == _market_model(market, k, n, visit), k
+
+
+def test_many_vectors_against_brute_force(spark, tmp_path):
+    import numpy as np
+    from quotelens.sources.vectors import VectorIndex, build_vector_index, search_many
+
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(9, 12))
+    data = [(i, (centers[i % 9] + rng.normal(size=12) * 0.1).tolist()) for i in range(400)]
+    data += [(400 + i, data[5][1]) for i in range(6)] + [(500, [0.0] * 12), (501, None), (502, [1.0, 2.0])]
+    table = spark.createDataFrame(data, "item_id bigint, embedding array<double>")
+    build_vector_index(table, cells=16).save(str(tmp_path / "index"))
+    index = VectorIndex.load(spark, str(tmp_path / "index"))
+    queries = table.filter("item_id % 10 = 0 OR item_id = 500").withColumnRenamed("item_id", "query_id")
+    good = [(i, np.array(v)) for i, v in data if v is not None and len(v) == 12]
+    want = set()
+    for q, v in good:
+        if q % 10 == 0 or q == 500:
+            def score(w):
+                lengths = np.linalg.norm(v) * np.linalg.norm(w)
+                return round(float(v @ w / lengths), 6) + 0.0 if lengths else 0.0
+
+            ranked = sorted((-score(w), i) for i, w in good)[:4]
+            want |= {(q, i, k + 1) for k, (_, i) in enumerate(ranked)}
+    got = search_many(queries, index, 4)
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == want
+    assert search_many(queries, build_vector_index(table.limit(0)), 4).count() == 0

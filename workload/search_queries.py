@@ -9,7 +9,7 @@ from quotelens.operators import market as K
 from quotelens.operators import review as R
 from quotelens.operators import similarity as S
 from quotelens import fixed_values as V
-from quotelens.sources.vectors import load_vectors, save_vectors
+from quotelens.sources.vectors import VectorIndex, build_vector_index, load_vectors, save_vectors, search_many
 from quotelens.plans.checkpoints import scratch_path
 from workload import tables as T
 from workload.registry import query
@@ -81,13 +81,13 @@ def sim_index(spark, sf):
 
 @query("jn_sim_text", sql("SELECT * FROM found_parts", "found_parts"))
 def jn_sim_text(spark, sf):
-    index = S.build_index(_master(spark, sf)).saved()
+    index = S.build_index(_master(spark, sf))
     return S.search_text_index(_queries(spark, sf), index, 3, V.MIN_SIMILARITY_LIST)
 
 
 @query("topk_text", sql("SELECT * FROM found_texts", "found_texts"))
 def topk_text(spark, sf):
-    index = S.build_index(_master(spark, sf)).saved()
+    index = S.build_index(_master(spark, sf))
     texts = T.load(spark, sf, "benchmark").select(F.col("text").alias("query"))
     return S.search_text_index(texts, index, 5, V.MIN_SIMILARITY_LIST)
 
@@ -96,7 +96,7 @@ def topk_text(spark, sf):
 SELECT item_id, item_name, spec, price_avg, similarity, rank FROM found_one JOIN sim_master USING (item_id)""", "found_one", "sim_master"))
 def sim_search(spark, sf):
     master = _master(spark, sf)
-    found = S.find_similar("  small bolts STANDARD ", S.build_index(master).saved(), master)
+    found = S.find_similar("  small bolts STANDARD ", S.build_index(master), master)
     return found.select("item_id", "item_name", "spec", "price_avg", "similarity", "rank")
 
 
@@ -108,7 +108,7 @@ LEFT JOIN sim_master m ON m.item_id = f.item_id""", "found_lines", "sim_master")
 def sim_match(spark, sf):
     lines = T.raw_lines(spark, sf).withColumn("item_name", F.concat_ws("-", "item_name", "maker"))
     master = _master(spark, sf)
-    matched = S.match_lines(lines, master, S.build_index(master).saved())
+    matched = S.match_lines(lines, master, S.build_index(master))
     return matched.select(
         "seq", "item_name", "spec", "unit_price", "std_price_avg", "matched_name", "similarity_pct"
     )
@@ -136,12 +136,19 @@ def topk_vec(spark, sf):
     return found.select("vec_id", "score")
 
 
-@query("jn_sim_vec", f"""
-SELECT label, count(*) AS n, round(max(score), 6) AS best FROM ({_COSINE}) WHERE score > 0 GROUP BY 1""")
+@query("jn_sim_vec", """
+SELECT q.vec_id AS query_id, v.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
+  CAST(row_number() OVER best AS INTEGER) AS rank
+FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL
+WINDOW best AS (PARTITION BY q.vec_id
+  ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id)
+QUALIFY row_number() OVER best <= 5""")
 def jn_sim_vec(spark, sf):
-    scored = S.cosine_scores(T.load(spark, sf, "embeddings"), _first_vector(spark, sf))
-    positive = scored.withColumn("score", F.round("score", 6)).filter("score > 0")
-    return positive.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    """The five nearest rows of every twentieth vector, from an index that is saved and loaded."""
+    vectors = T.load(spark, sf, "embeddings")
+    path = scratch_path(spark, "vector-cells")
+    build_vector_index(vectors, "vec_id").save(path)
+    return search_many(vectors.filter("vec_id % 20 = 0"), VectorIndex.load(spark, path), 5, "vec_id")
 
 
 @query("src_vector_index", """
