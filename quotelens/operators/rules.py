@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens import fixed_values as V
@@ -201,9 +201,61 @@ def apply_rule(items: DataFrame, name: str) -> DataFrame:
     return _run(items, [RULES[name]])
 
 
-def apply_rules(items: DataFrame) -> DataFrame:
-    """All rules in their fixed order; row count never changes."""
-    return _run(items, list(RULES.values()))
+def apply_rules(items: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """All rules in their fixed order; row count never changes.
+
+    With a table of `corrections` (see `correct`), it takes the place of the built-in ones.
+    """
+    if corrections is None:
+        return _run(items, list(RULES.values()))
+    names = list(RULES)
+    at = names.index("rule_05_manual")
+    early, late = ([RULES[n] for n in part] for part in (names[:at], names[at + 1:]))
+    return _run(correct(_run(items, early), corrections), late)
+
+
+def corrections_table(spark: SparkSession) -> DataFrame:
+    """The built-in corrections as a table: priority, match_<field> (null matches all), set_<field> (null keeps)."""
+    rows = [
+        (i, *[match.get(c) for c in RULE_COLUMNS], *[patch.get(c) for c in RULE_COLUMNS])
+        for i, (match, patch) in enumerate(V.RULE_CORRECTIONS)
+    ]
+    fields = [f"{kind}_{c} string" for kind in ("match", "set") for c in RULE_COLUMNS]
+    return spark.createDataFrame(rows, ", ".join(["priority bigint", *fields]))
+
+
+def correct(items: DataFrame, corrections: DataFrame, name: str = "rule_05_manual") -> DataFrame:
+    """Lines with the correction of least priority that they match, logged as `name`.
+
+    A correction names values of some fields and leaves the others open. Corrections are grouped by
+    which fields they name, at most 2 ** 5 groups; each group is one equi-join on its fields, with
+    one row a key, so a line never meets a correction that it does not match. Values are compared
+    without surrounding blanks. Equal priorities fall to the smaller values.
+    """
+    named = F.array(*[F.col(f"match_{c}").isNotNull() for c in RULE_COLUMNS])
+    masks = sorted(tuple(r["mask"]) for r in corrections.select(named.alias("mask")).distinct().collect())
+    log = F.col(CHANGED) if CHANGED in items.columns else F.array().cast("array<string>")
+    out = items.withColumns({
+        **{c: F.coalesce(c, F.lit("")) for c in RULE_COLUMNS}, CHANGED: log,
+        **{f"__key_{c}": strip(F.coalesce(c, F.lit(""))) for c in RULE_COLUMNS}, "__any": F.lit(1),
+    })
+    patch = F.struct("priority", *[F.col(f"set_{c}").alias(c) for c in RULE_COLUMNS])
+    found = []
+    for i, mask in enumerate(masks):
+        fields = [c for c, used in zip(RULE_COLUMNS, mask, strict=True) if used]
+        keys = [F.col(f"match_{c}").alias(f"__key_{c}") for c in fields] or [F.lit(1).alias("__any")]
+        group = corrections.filter(named == F.array(*map(F.lit, mask))).groupBy(*keys).agg(F.min(patch).alias(f"__found_{i}"))
+        out = out.join(group, [c for c in group.columns if c != f"__found_{i}"], "left")
+        found.append(F.col(f"__found_{i}"))
+    best = F.array_min(F.array(*found)) if found else F.lit(None).cast("struct<priority:bigint>")
+    chosen = out.withColumn("__best", best)
+    if found:
+        hit = F.col("__best").isNotNull()
+        chosen = chosen.withColumns({
+            **{c: F.coalesce(F.col("__best")[c], F.col(c)) for c in RULE_COLUMNS},
+            CHANGED: F.when(hit, F.array_append(CHANGED, F.lit(name))).otherwise(F.col(CHANGED)),
+        })
+    return chosen.select(*items.columns, *([] if CHANGED in items.columns else [CHANGED]))
 
 
 def rule_counts(repaired: DataFrame) -> DataFrame:

@@ -50,3 +50,25 @@ def test_chain_keeps_rows_and_filters_cheaply(spark):
     out = R.apply_rules(df)
     assert out.count() == 500
     assert out.filter("item_name = 'bolt' AND unit = 'SET'").groupBy("spec").count().count() == 500
+
+
+def test_corrections_of_a_table(spark):
+    """Open fields match everything, the least priority wins, and the built-in table does what the built-in rule does."""
+    lines = [("x", "y", "EA", "BED EQUIPMENT", "u", 1), (" 서버 전송 프로그램 ", "", "EA", "BED EQUIPMENT", "u", 1), (None, None, None, "M", "u", None),
+             ("MBC ASS'Y", "s", "EA", "OIL JET VISION UNIT", "u", 5), ("bolt", "s", "EA", "M", "u", 5)]
+    df = spark.createDataFrame(lines, SCHEMA)
+    builtin = R.corrections_table(spark)
+    key = lambda rows: sorted(map(str, rows))
+    assert key(R.correct(df, builtin).collect()) == key(R.apply_rule(df, "rule_05_manual").collect())
+    assert key(R.apply_rules(df, builtin).collect()) == key(R.apply_rules(df).collect())
+    fields = ", ".join(f"{k}_{c} string" for k in ("match", "set") for c in COLUMNS)
+    none = [None] * 5
+    table = spark.createDataFrame([
+        (9, *none, None, "any", None, None, None), (5, None, None, None, "M", None, None, "maker", None, None, None),
+        (3, "bolt", None, None, "M", None, "both", None, None, "", None), (4, "bolt", None, None, "M", None, "later", None, None, None, None),
+    ], "priority bigint, " + fields)
+    got = {(r["item_name"], r["spec"], r["maker"]) for r in R.correct(df, table).collect()}
+    assert got == {("x", "any", "BED EQUIPMENT"), (" 서버 전송 프로그램 ", "any", "BED EQUIPMENT"), ("", "maker", "M"),
+                   ("MBC ASS'Y", "any", "OIL JET VISION UNIT"), ("both", "s", "")}
+    assert R.correct(df, table.limit(0)).count() == 5
+    assert "CartesianProduct" not in R.correct(df, table)._jdf.queryExecution().executedPlan().toString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quotelens import fixed_values as V
 from quotelens.operators import rules as R
 from workload import tables as T
 from workload.registry import query
@@ -186,7 +187,64 @@ def _single(name: str) -> None:
 
 
 for _name in RULE_SQL:
-    _single(_name)
+    if _name != "rule_05_manual":
+        _single(_name)
+
+# Corrections from data: a maker's parts of one type, one part name, one part name of a maker, and the built-in ones last.
+_PATCH = "NULL AS set_item_name, NULL AS set_spec, NULL AS set_unit, NULL AS set_maker, NULL AS set_unit_name"
+_FIXED = ", ".join(
+    "({}, {})".format(1_000_000 + i, ", ".join(
+        "NULL" if d.get(c) is None else "'{}'".format(d[c].replace("'", "''")) for d in pair for c in _COLUMNS))
+    for i, pair in enumerate(V.RULE_CORRECTIONS)
+)
+_NAMES = ", ".join(f"{kind}_{c}" for kind in ("match", "set") for c in _COLUMNS)
+CTE["corrections"] = f"""
+SELECT p_partkey AS priority, NULL AS match_item_name, p_type AS match_spec, NULL AS match_unit, p_brand AS match_maker, NULL AS match_unit_name,
+  {_PATCH.replace('NULL AS set_unit,', "'TYPE' AS set_unit,")} FROM part WHERE p_partkey % 40 = 0
+UNION ALL SELECT p_partkey, p_name, NULL, NULL, NULL, NULL,
+  {_PATCH.replace('NULL AS set_spec', "'by name ' || p_partkey AS set_spec")} FROM part WHERE p_partkey % 70 = 0
+UNION ALL SELECT p_partkey - 500, p_name, NULL, NULL, p_brand, NULL,
+  {_PATCH.replace('NULL AS set_maker', "'' AS set_maker")} FROM part WHERE p_partkey % 30 = 0
+UNION ALL SELECT * FROM (VALUES {_FIXED}) t(priority, {_NAMES})"""
+NEEDS["corrections"] = []
+
+
+def _corrections(spark, sf):
+    c = F.col
+    part = T.load(spark, sf, "part")
+
+    def made(rows, priority, **fields):
+        every = [f"{kind}_{name}" for kind in ("match", "set") for name in _COLUMNS]
+        return rows.select(priority.cast("bigint").alias("priority"), *[
+            fields.get(f, F.lit(None)).cast("string").alias(f) for f in every])
+
+    key = c("p_partkey")
+    return (
+        made(part.filter(key % 40 == 0), key, match_spec=c("p_type"), match_maker=c("p_brand"), set_unit=F.lit("TYPE"))
+        .unionByName(made(part.filter(key % 70 == 0), key, match_item_name=c("p_name"),
+                          set_spec=F.concat(F.lit("by name "), key.cast("string"))))
+        .unionByName(made(part.filter(key % 30 == 0), key - 500, match_item_name=c("p_name"), match_maker=c("p_brand"),
+                          set_maker=F.lit("")))
+        .unionByName(R.corrections_table(spark).withColumn("priority", c("priority") + 1_000_000))
+    )
+
+
+_MATCHES = " AND ".join(f"(match_{c} IS NULL OR match_{c} = trim(m.{c}))" for c in _COLUMNS)
+
+
+_RECORD = ", ".join(f"m.{c}" for c in _COLUMNS)
+
+
+@query("rule_05_manual", sql(f"""
+SELECT seq, unit_price, {', '.join(f'coalesce(b.set_{c}, m.{c}) AS {c}' for c in _COLUMNS)},
+  CASE WHEN b.priority IS NULL THEN '' ELSE 'rule_05_manual;' END AS changed
+FROM messy m LEFT JOIN (
+  SELECT {_RECORD}, c.* FROM (SELECT DISTINCT {_RECORD} FROM messy m) m JOIN corrections c ON {_MATCHES}
+  QUALIFY row_number() OVER (PARTITION BY {_RECORD} ORDER BY priority, set_spec, set_unit, set_maker) = 1) b USING ({', '.join(_COLUMNS)})""",
+                             "messy", "corrections"))
+def rule_05_manual(spark, sf):
+    """Every line against a table of corrections with open fields; the least priority wins."""
+    return _shown(R.correct(_messy(spark, sf), _corrections(spark, sf)))
 
 
 @query("rule_chain", sql(f"SELECT {_OUT} FROM {_LAST}", _LAST))
