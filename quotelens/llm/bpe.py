@@ -17,7 +17,7 @@ from tokenizers import pre_tokenizers
 BLOCK_CHARS = 1 << 16
 # Pieces that are learnt together, and the bounds of the memo between slabs.
 SLAB_PIECES = 1 << 16
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 1 << 17
 MEMO_CHARS = 64
 MAX_FILE_BYTES = 64 << 20
 # Fragments of more bytes are merged one by one.
@@ -73,7 +73,7 @@ class _PairTable:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file; holds a memo of bounded size."""
+    """Encoder of one vocabulary file; holds a memo of bounded size."""
 
     def __init__(self, file: str) -> None:
         spec = json.loads(file)
@@ -104,11 +104,6 @@ class Codec:
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_at = re.compile("|".join(map(re.escape, longest_first)) or r"(?!)")
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *added.values()]))
-        for token, number in [*vocab.items(), *added.items()]:
-            known = all(c in code for c in token)
-            self.bytes_of[number] = bytes(code[c] for c in token) if known else token.encode()
         self.memo: dict[str, bytes] = dict(self.added)
         self.same_class: dict[str, bool] = {}
 
@@ -263,6 +258,19 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """The bytes of every token of one vocabulary file."""
+
+    def __init__(self, file: str) -> None:
+        spec = json.loads(file)
+        code = {s: b for b, s in enumerate(byte_symbols())}
+        every = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+        self.bytes_of = [b""] * (1 + max(every.values()))
+        for token, number in every.items():
+            known = all(c in code for c in token)
+            self.bytes_of[number] = bytes(code[c] for c in token) if known else token.encode()
+
     def decode(self, tokens: bytes) -> str:
         """Text of packed ids; bytes that are no UTF-8 become U+FFFD. An unknown id is an error."""
         ids = np.frombuffer(tokens, "<u4")
@@ -271,15 +279,15 @@ class Codec:
         return b"".join(b"".join(map(table.__getitem__, span)) for span in spans).decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_MADE: dict[type, tuple[int, Codec | Decoder]] = {}
 
 
-def _codec(shared) -> Codec:
-    """One codec a Python worker and file."""
-    if shared.value[0] not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.value[0]] = Codec(shared.value[1])
-    return _CODECS[shared.value[0]]
+def _made(kind: type, shared) -> Codec | Decoder:
+    """One codec or decoder a Python worker and file."""
+    number, file = shared.value
+    if kind not in _MADE or _MADE[kind][0] != number:
+        _MADE[kind] = (number, kind(file))
+    return _MADE[kind][1]
 
 
 def _shared(docs: DataFrame, path: str):
@@ -306,7 +314,7 @@ def encode(docs: DataFrame, path: str, text: Column | str = "text", into: str =
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared)
+        codec = _made(Codec, shared)
         for batch in batches:
             yield pa.array(codec.encode_all(x.as_py().decode("utf-8", "replace") for x in batch), pa.binary())
 
@@ -320,9 +328,9 @@ def decode(rows: DataFrame, path: str, tokens: Column | str = "tokens", into: st
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared)
+        decoder = _made(Decoder, shared)
         for batch in batches:
-            yield pa.array((codec.decode(x.as_py()) for x in batch), pa.string())
+            yield pa.array((decoder.decode(x.as_py()) for x in batch), pa.string())
 
     column = F.col(tokens) if isinstance(tokens, str) else tokens
     return rows.withColumn(into, run(F.coalesce(column, F.lit(b""))))
