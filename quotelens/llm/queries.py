@@ -63,18 +63,20 @@ def _kind_sql(number: int) -> str:
 
 _SECRETS_SQL = f"""
 WITH docs AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, coalesce(source, '') AS owner FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, coalesce(source, '') AS owner,
+         coalesce(lang, '') AS lang FROM documents),
 loose AS ({' UNION ALL '.join(_kind_sql(k) for k in range(4))}),
 base AS (SELECT * FROM loose WHERE kind IN (1, 2) OR (kind = 0 AND length(val) >= 6)),
 other AS (
   SELECT * FROM loose o WHERE kind = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.start < o.stop AND o.start < b.stop)),
-every AS (SELECT s.*, d.owner FROM (SELECT * FROM base UNION ALL SELECT * FROM other) s JOIN docs d USING (rid)),
-spread AS (SELECT val, count(DISTINCT owner) AS owners FROM every GROUP BY val),
+every AS (SELECT s.*, d.owner, d.lang FROM (SELECT * FROM base UNION ALL SELECT * FROM other) s JOIN docs d USING (rid)),
+spread AS (
+  SELECT val, count(DISTINCT owner) < 3 AND count(DISTINCT (owner, lang)) < 3 AS live FROM every GROUP BY val),
 judged AS (
   SELECT rid, kind, start, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS span,
-         owners < 3 AS live
-  FROM every JOIN spread USING (val) WHERE kind < 3 OR owners < 3),
+         live
+  FROM every JOIN spread USING (val) WHERE kind < 3 OR live),
 gathered AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
          count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,

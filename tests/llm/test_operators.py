@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -331,10 +332,28 @@ def test_secrets_copied_inside_one_source(spark):
     table = [(i, f"key {wide} end", ("en", "de", "fr")[i % 3], "s") for i in range(30)]
     table += [(99, f"key {narrow} end", "en", "s")]
     docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string")
-    # One owner: repositories decide only where they are asked for.
-    assert all(r["n_live"] == r["n_owned"] == 1 for r in secrets.find_secrets(docs).collect())
-    for r in secrets.find_secrets(docs, wide_repos=3).collect():
+    # One owner with three repositories: the value is copied, unless repositories are left out.
+    for r in secrets.find_secrets(docs).collect():
         assert (r["n_live"], r["n_owned"]) == ((1, 1) if r["doc_id"] == 99 else (0, 0))
+    assert all(r["n_live"] == r["n_owned"] == 1 for r in secrets.find_secrets(docs, wide_repos=None).collect())
+
+
+def test_a_text_full_of_secrets(spark):
+    """Chunks of matches give the places that one pass gives, and a hundred thousand of them end soon."""
+    base = "a" * 30
+    text = " ".join(f"k{i} {base[:24 + i % 7]}{'f' * (i % 3)} password={i:06d}xyz Zz{i:06d}" + "Q9" * 8 for i in range(700))
+    pattern = {"hex": r"[0-9a-f]{24,}", "assign": r"(?i:password)=([A-Za-z0-9+/_.=-]+)"}
+    spans = sorted((m.start(), k, m.end()) for k, p in pattern.items() for m in re.finditer(p, text))
+    owned = [(m.start(), "owned", m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text)
+             if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+    apart = [o for o in owned if not any(a < o[2] and o[0] < b for a, _, b in spans)]
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, ("f" * 24 + " ") * 100_000, "en", "t")],
+                                 "doc_id bigint, text string, lang string, source string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert time.time() - start < 60
+    assert got[1]["spans"] == ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans + apart)) and apart
+    assert got[2]["n_hex"] == 100_000 and got[2]["spans"].endswith(f",hex:{25 * 99_999}:{25 * 99_999 + 24}")
 
 
 def test_near_prints_are_those_of_plain_buckets(spark):
