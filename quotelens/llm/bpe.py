@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import pre_tokenizers
 
 BLOCK_CHARS = 1 << 16
@@ -299,7 +300,9 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast((hash(text), text))
 
 
-def encode(docs: DataFrame, path: str, text: Column | str = "text", into: str = "tokens") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, text: Column | str = "text", into: str = "tokens", decoded_into: str | None = None
+) -> DataFrame:
     """`docs` with the column `into`: packed little-endian unsigned 32-bit ids of the whole text.
 
     The text is divided as the file's pre-tokenizer does, each piece is cut wherever two bytes
@@ -307,19 +310,27 @@ def encode(docs: DataFrame, path: str, text: Column | str = "text", into: str =
     encoded apart. An added token of the file is one id where its string stands in the text. A
     null text is empty and an empty text has no ids; repeated rows each get theirs; an empty table
     stays empty; a column that is already called `into` is replaced. It is a map without a
-    shuffle: a worker holds one Arrow batch, one text, and memos of bounded size. Bytes that are no UTF-8
-    count as U+FFFD.
+    shuffle: a worker holds one Arrow batch, one text, and a memo of bounded size. Bytes that are no UTF-8
+    count as U+FFFD. With `decoded_into`, the ids are decoded again in the same pass, as by `decode`, for a
+    check of the round trip.
     """
     shared = _shared(docs, path)
+    again = decoded_into is not None
+    kind = StructType([StructField("tokens", BinaryType()), StructField("decoded", StringType())])
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _made(Codec, shared)
+        decode_one = _made(Decoder, shared).decode if again else None
         for batch in batches:
-            yield pa.array(codec.encode_all(x.as_py().decode("utf-8", "replace") for x in batch), pa.binary())
+            packed = codec.encode_all(x.as_py().decode("utf-8", "replace") for x in batch)
+            texts = pa.array(map(decode_one, packed), pa.string()) if again else pa.nulls(len(packed), pa.string())
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), texts], kind.names)
 
     column = F.col(text) if isinstance(text, str) else text
-    return docs.withColumn(into, run(F.coalesce(column, F.lit("")).cast("binary")))
+    coded = docs.withColumn("__coded", run(F.coalesce(column, F.lit("")).cast("binary")))
+    made = {into: F.col("__coded.tokens")} | ({decoded_into: F.col("__coded.decoded")} if again else {})
+    return coded.withColumns(made).drop("__coded")
 
 
 def decode(rows: DataFrame, path: str, tokens: Column | str = "tokens", into: str = "decoded") -> DataFrame:

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelens.llm.bpe import decode, encode
+from quotelens.llm.bpe import encode
 from quotelens.llm.exact import exact_groups
 from quotelens.llm.fim import fill_in_middle, restored
 from quotelens.llm.language import held_out, identify
@@ -250,7 +250,7 @@ def fim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    coded = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = encode(_table(spark, sf_dir, "documents"), path, decoded_into="decoded")
     return coded.select(
         "doc_id", (F.length("tokens") / 4).cast("bigint").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -93,14 +93,14 @@ def test_memos_stay_bounded(monkeypatch, texts):
 
 def test_bpe_is_the_tokenizer(docs, texts):
     library = Tokenizer.from_file(BPE_PATH)
-    coded = bpe.decode(bpe.encode(docs, BPE_PATH), BPE_PATH)
-    assert coded.columns == [*docs.columns, "decoded"]
+    coded = bpe.decode(bpe.encode(docs, BPE_PATH, decoded_into="same_pass"), BPE_PATH)
+    assert coded.columns == [*docs.columns, "same_pass", "decoded"]
     rows = coded.collect()
     assert len(rows) == len(texts) + 3
     for r in rows:
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["tokens"], "<u4").tolist() == ids
-        assert r["decoded"] == library.decode(ids, skip_special_tokens=False) == (r["text"] or "")
+        assert r["same_pass"] == r["decoded"] == library.decode(ids, skip_special_tokens=False) == (r["text"] or "")
 
 
 def test_forced_boundaries_cut_inside_pieces():

@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -220,6 +221,18 @@ def test_language_learns_from_its_share_only(spark):
     assert language.accepted_documents(docs).columns == docs.columns
 
 
+def _plain_pack(sizes, buckets, budget):
+    """Sorted packed rows of (id, size) pairs; id -1 is null."""
+    bounds = packing.best_bounds(*map(list, zip(*sorted(Counter(n for _, n in sizes).items()), strict=True)), buckets)
+    out = []
+    for k, bound in enumerate(bounds):
+        inside = [(i, n) for i, n in sizes if n <= bound and (k == 0 or n > bounds[k - 1])]
+        inside.sort(key=lambda x: (hashlib.md5(str(x[0] if x[0] >= 0 else "").encode()).hexdigest(), *x))
+        room = max(1, budget // max(bound, 1))
+        out += [(i, n, k, bound, p // room, p % room, bound - n) for p, (i, n) in enumerate(inside)]
+    return sorted(out)
+
+
 def test_bounds_are_optimal_and_batches_keep_the_budget(docs, rows):
     from itertools import combinations
 
@@ -240,16 +253,9 @@ def test_bounds_are_optimal_and_batches_keep_the_budget(docs, rows):
     got = packing.pack(docs, buckets=3, budget=450).collect()
     assert len(got) == len(rows)
     # Every row as a plain reading of the docstring gives it.
-    sizes = sorted((len((t or "").encode().split()), -1 if i is None else i) for i, t, *_ in rows)
-    bounds = packing.best_bounds(*map(list, zip(*sorted(Counter(n for n, _ in sizes).items()), strict=True)), 3)
-    want = []
-    for k, bound in enumerate(bounds):
-        inside = [(i, n) for n, i in sizes if n <= bound and (k == 0 or n > bounds[k - 1])]
-        inside.sort(key=lambda x: (hashlib.md5(str(x[0] if x[0] >= 0 else "").encode()).hexdigest(), *x))
-        room = max(1, 450 // max(bound, 1))
-        want += [(i, n, k, bound, p // room, p % room, bound - n) for p, (i, n) in enumerate(inside)]
+    want = _plain_pack([(-1 if i is None else i, len((t or "").encode().split())) for i, t, *_ in rows], 3, 450)
     columns = ("doc_id", "size", "bucket", "bucket_len", "batch", "slot", "padding")
-    assert sorted(tuple(-1 if r[c] is None else r[c] for c in columns) for r in got) == sorted(want)
+    assert sorted(tuple(-1 if r[c] is None else r[c] for c in columns) for r in got) == want
     for key in {(r["bucket"], r["batch"]) for r in got}:
         batch = [r for r in got if (r["bucket"], r["batch"]) == key]
         assert sorted(r["slot"] for r in batch) == list(range(len(batch)))
@@ -366,3 +372,74 @@ def test_near_prints_are_those_of_plain_buckets(spark):
         f == g and v != w and ((v ^ w) & (1 << 64) - 1).bit_count() <= 3 for g, w in rows)}
     prints = spark.createDataFrame(sorted(rows), "family int, fp bigint")
     assert {tuple(r) for r in simhash._near_prints(prints).collect()} == near and near
+
+
+def _plain_mix(rows, weights=(5, 2, 1), passes=3):
+    """(id, text, source) rows as often as weighted fair queueing takes them, in exact fractions."""
+    size = {i: len(t.encode().split()) for i, t, _ in rows}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    words = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    total, targets, left = sum(words.values()), {}, list(sources)
+    while True:
+        room, share = total - sum(targets.values()), sum(weight[s] for s in left)
+        full = [s for s in left if Fraction(weight[s] * room, share) > passes * words[s]]
+        if not full:
+            targets |= {s: Fraction(weight[s] * room, share) for s in left}
+            break
+        targets |= {s: Fraction(passes * words[s]) for s in full}
+        left = [s for s in left if s not in full]
+    queue = []
+    for k, s in enumerate(sources):
+        through = 0
+        own = sorted(((hashlib.md5(str(i).encode()).hexdigest(), i, t) for i, t, x in rows if x == s))
+        for turn, i, t in own:
+            through += size[i]
+            queue += [((lap * words[s] + through) / targets[s], k, turn, i, lap, t) for lap in range(passes) if size[i]]
+    out, used = [], 0
+    for *_, i, _, t in sorted(queue):
+        used += size[i]
+        if used > total:
+            break
+        out.append((i, size[i]))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage after the language model, worked out row by row."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    common = {"en": "the of and to in is that it was for on are with as his they be at one have".split(),
+              "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch".split()}
+    table = []
+    for i in range(80):
+        lang = ("en", "de")[i % 2]
+        words = rng.choice(common[lang], 30 + 3 * i).tolist() if i % 5 else rng.choice(common[lang], 12).tolist()
+        table.append([i, " ".join(words), lang, ("a", "b", "c", None)[i % 4]])
+    table[40][1], table[42][1] = table[30][1], table[30][1]
+    near = table[61][1].split()
+    near[5] = "changed"
+    table[63][1] = " ".join(near)
+    table += [[90, None, "en", "a"], [91, "12 34 !!", "en", "b"]]
+    docs = spark.createDataFrame([tuple(r) for r in table], "doc_id bigint, text string, lang string, source string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    accepted = {r["doc_id"] for r in language.accepted_documents(docs).collect()}
+    assert 90 not in accepted and 91 not in accepted and len(accepted) > 70
+    rows = [(i, t, s) for i, t, _, s in table if i in accepted]
+    rows = [r for r in rows if r[0] == max(x[0] for x in rows if x[1] == r[1])]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t, _ in rows}
+    least = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = {x: low if v == high else v for x, v in least.items()}
+    rows = [r for r in rows if least[r[0]] == r[0]]
+    assert 30 not in {r[0] for r in rows} and 63 not in {r[0] for r in rows} and 42 in {r[0] for r in rows}
+    mixed = _plain_mix(rows)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in got) == sorted(mixed)
+    assert sorted((r["doc_id"], r["size"], r["bucket"], r["bucket_len"], r["batch"], r["slot"], r["padding"]) for r in got) == _plain_pack(
+        mixed, packing.BUCKETS, packing.BUDGET)
