@@ -80,7 +80,7 @@ def build_vector_index(vectors: DataFrame, id_column: str = "item_id", cells: in
     units = written(kept.filter(F.size("embedding") == dims).select(
         F.col(id_column).alias("item_id"), _unit(F.col("embedding")).alias("unit")), "unit-vectors")
     drawn = units.filter(dot(F.col("unit"), F.col("unit")) > 0).orderBy(F.xxhash64("item_id"), "item_id").limit(cells).collect()
-    centers = np.array([r["unit"] for r in drawn] or [[0.0] * dims], np.float64).reshape(-1, dims)
+    centers = np.array([r["unit"] for r in drawn] or [[0.0] * dims], np.float64).reshape(max(len(drawn), 1), dims)
     near = units.withColumn("near", _nearest_cell(centers)("unit"))
     rows = written(near.select("item_id", "unit", F.col("near.cell").alias("cell"), F.col("near.cosine").alias("cosine")), "cells")
     radii = rows.groupBy("cell").agg(F.acos(F.greatest(F.least(F.min("cosine"), F.lit(1.0)), F.lit(-1.0))).alias("radius"))
