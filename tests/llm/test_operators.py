@@ -78,11 +78,17 @@ def _removed(rows, tokens, width, by_place):
             own.setdefault(window, rank)
         for window in own:
             first.setdefault(window, rank)
-        out[rank] = sum(gone)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.array(gone, np.int8), [0]])))
+        kept = [u for u, g in zip(units, gone, strict=True) if not g]
+        joined = b" ".join(kept) if not by_place else bytes(kept)
+        out[rank] = (len(units), sum(gone), len(edges) // 2, hashlib.sha256(joined).hexdigest())
     return out
 
 
-def test_shared_words_and_repeated_bytes(docs, rows):
+@pytest.mark.parametrize("contents", [4096, 2])
+def test_shared_words_and_repeated_bytes(docs, rows, contents, monkeypatch):
+    """Whole rows; with 2, anchors of more contents are dealt out window by window."""
+    monkeypatch.setattr(windows, "SHARD_SEGMENTS", contents)
     for run, tokens, width, by_place in (
         (substrings.remove_shared_words, lambda t: t.encode().split(), 13, False),
         (suffixes.remove_repeated_bytes, lambda t: t.encode(), 100, True),
@@ -90,7 +96,8 @@ def test_shared_words_and_repeated_bytes(docs, rows):
         want = _removed(rows, tokens, width, by_place)
         got = run(docs).collect()
         assert len(got) == len(rows)
-        assert {(-1 if r["doc_id"] is None else r["doc_id"]): r["n_removed"] for r in got} == want
+        columns = ("n_units", "n_removed", "n_spans", "kept_sha256")
+        assert {(-1 if r["doc_id"] is None else r["doc_id"]): tuple(r[c] for c in columns) for r in got} == want
         assert all(sum(s["stop"] - s["start"] for s in r["removed"]) == r["n_removed"] for r in got)
 
 
