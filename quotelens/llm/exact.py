@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelens.llm.rows import attach, keyed, same_row
+from quotelens.llm.rows import attach_once, keyed, same_row
 from quotelens.plans.checkpoints import written
 
 CHUNK = 1 << 16
@@ -123,6 +123,12 @@ def _marked(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select("doc_id", "row_key").distinct()
-    return attach(docs, kept).select("row.*")
+    """One row of `docs` per text, with all its columns: rows that repeat its id and text go too.
+
+    Of null and empty texts with one id, or without, one stays. Which of rows that differ in other
+    columns only stays is not defined.
+    """
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(
+        F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies")
+    )
+    return attach_once(docs, written(kept.select("doc_id", "row_key", "copies"), "kept"))

@@ -43,6 +43,20 @@ def attach(docs: DataFrame, results: DataFrame, how: str = "inner") -> DataFrame
     return left.join(results, same_row(left, results), how).select(left["row"], *[results[c] for c in rest])
 
 
+def attach_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of `docs` per key of `kept` (doc_id, row_key, copies); only repeated rows meet again.
+
+    Copies of a row are dropped in the map tasks first, so a repeated one arrives as a few rows.
+    """
+    rows = attach(docs, kept)
+    single = rows.where("copies = 1").select("row.*")
+    if kept.where("copies > 1").isEmpty():
+        return single
+    key = F.struct(F.col("row.doc_id"), F.xxhash64("row.doc_id", "row.text"))
+    repeated = rows.where("copies > 1").withColumn("key", key).dropDuplicates(["key"])
+    return single.unionByName(repeated.select("row.*"))
+
+
 def running_sums(df: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
     """Add, for each (name, column) of `values`, the sum of the column over all earlier rows.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelens.llm.components import components
-from quotelens.llm.rows import attach, keyed
+from quotelens.llm.rows import attach_once, keyed
 from quotelens.plans.checkpoints import written
 
 SEGMENTS, WIDTH = 8, 8
@@ -328,11 +328,12 @@ def similar_components(sets: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, families: int = FAMILIES) -> DataFrame:
-    """Rows of `docs` whose id is the smallest of their component, with all their columns.
+    """One row of `docs` per component, that of the smallest id, with all its columns.
 
     Texts are linked when their whole sets of five-word shingles have a Jaccard similarity of 0.8
     or more. Fingerprints of several families and MinHash keys only propose the texts to compare.
-    Null and wordless texts are equal; null ids and empty tables are as in `near_groups`.
+    Null and wordless texts are equal. A null id stays only where a component has no other; rows
+    that repeat id and text go but for one. An empty table gives no rows.
     """
     texts = keyed(docs)
     prints = written(fingerprints(texts, shingle, families), "prints")
@@ -341,7 +342,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, families: int = FA
     sets = written(_arrays(asked, "tokens", text_set).dropDuplicates(["row_key"]), "sets")
     labels = similar_components(sets)
     members = prints.join(labels, prints["row_key"] == labels["node"]).select("doc_id", "row_key", "label")
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    later = members.join(least, "label").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = prints.select("doc_id", "row_key").distinct().join(later.select("row_key").distinct(), "row_key", "left_anti")
-    return attach(docs, kept).select("row.*")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    least = members.groupBy("label").agg(F.min_by("row_key", order).alias("stays"))
+    later = members.join(least, "label").where("row_key <> stays").select("row_key").distinct()
+    kept = prints.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies")).join(later, "row_key", "left_anti")
+    return attach_once(docs, written(kept, "kept"))

@@ -412,6 +412,40 @@ def _plain_mix(rows, weights=(5, 2, 1), passes=3):
     return out
 
 
+def test_repeated_rows_queue_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    words = " ".join(WORDS[:50])
+    table = [(i, f"{words} a{i}", "a", i) for i in range(150)] + [(500, f"{words} b", "b", i) for i in range(150)]
+    table += [(None, "c c", None, 1), (None, "c c", None, 2), (None, None, "a", 3), (7, "", "a", 4)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, source string, copy int")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(table)
+    for source in ("a", "b", None):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 51 and all(r["passes"] <= 3 for r in own)
+    rows = mixing.mixed_documents(docs)
+    assert rows.columns == docs.columns
+    mine = Counter((r["doc_id"], r["text"], r["source"]) for r in rows.collect())
+    wanted = Counter()
+    for r, text in ((r, {500: f"{words} b", None: "c c"}.get(r["doc_id"], f"{words} a{r['doc_id']}")) for r in got if r["passes"]):
+        wanted[r["doc_id"], text, r["source"]] += r["passes"]
+    assert mine == wanted
+    # Copies of one row differ by one pass at most, whichever they are.
+    each = Counter(r["copy"] for r in rows.collect() if r["source"] == "b")
+    assert max(each.values()) - min(each.get(i, 0) for i in range(150)) <= 1 and max(each.values()) > min(each.get(i, 0) for i in range(150))
+
+
+def test_dedup_stages_leave_one_of_repeated_rows(spark):
+    table = [(5, LONG, "s", i) for i in range(150)] + [(4, LONG, "s", 0), (None, None, "s", 1), (None, "", "s", 2), (None, None, "s", 3)]
+    table += [(None, "one two", "s", 1), (None, "one two", "t", 2), (9, " ".join(WORDS[::-1]), "s", 1)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, source string, copies int")
+    for run, stays in ((exact.drop_exact_copies, 5), (simhash.drop_near_copies, 4)):
+        kept = run(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted(
+            [(stays, LONG), (0, ""), (0, "one two"), (9, " ".join(WORDS[::-1]))])
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """Every stage after the language model, worked out row by row."""
     import corpus_pipeline
