@@ -6,10 +6,12 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Paths of stored tables that still exist, newest last.
+# Paths of stored tables that still exist: those of the innermost `scratch` block of this thread, and all others.
+_BLOCK: ContextVar[list[str] | None] = ContextVar("stored tables of a block", default=None)
 _STORED: list[str] = []
 
 
@@ -27,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; `release` deletes what is there."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    own = _BLOCK.get()
+    (_STORED if own is None else own).append(path)
     return path
 
 
@@ -50,29 +53,34 @@ def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables stored since the first `keep`; frames that read them end with them."""
+def release(spark: SparkSession, stored: list[str]) -> None:
+    """Delete the tables at the paths of `stored`, emptying it; frames that read them end with them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_STORED) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    while stored:
+        path = jvm.org.apache.hadoop.fs.Path(stored.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Drop everything stored inside the block when it ends; consume results inside it."""
-    before = len(_STORED)
+    """Drop what this thread stores inside the block when it ends; consume results inside it.
+
+    Tables of other threads and of blocks around it stay.
+    """
+    own: list[str] = []
+    token = _BLOCK.set(own)
     try:
         yield
     finally:
-        release(spark, before)
+        _BLOCK.reset(token)
+        release(spark, own)
 
 
 def _at_exit() -> None:
     spark = SparkSession.getActiveSession() if _STORED else None
     if spark is not None:
-        release(spark)
+        release(spark, _STORED)
 
 
 atexit.register(_at_exit)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "pricing_queries", "review_queries", "rule_queries", "parsing_queries", "search_queries", "function_queries",
-    "ingest_queries",
+    "ingest_queries", "review_job_queries",
 ]
 
 
