@@ -230,7 +230,8 @@ def correct(items: DataFrame, corrections: DataFrame, name: str = "rule_05_manua
     A correction names values of some fields and leaves the others open. Corrections are grouped by
     which fields they name, at most 2 ** 5 groups; each group is one equi-join on its fields, with
     one row a key, so a line never meets a correction that it does not match. Values are compared
-    without surrounding blanks. Equal priorities fall to the smaller values.
+    without surrounding blanks. Equal priorities fall to the smaller values, field by field; a value goes
+    before a field that is kept.
     """
     named = F.array(*[F.col(f"match_{c}").isNotNull() for c in RULE_COLUMNS])
     masks = sorted(tuple(r["mask"]) for r in corrections.select(named.alias("mask")).distinct().collect())
@@ -239,7 +240,8 @@ def correct(items: DataFrame, corrections: DataFrame, name: str = "rule_05_manua
         **{c: F.coalesce(c, F.lit("")) for c in RULE_COLUMNS}, CHANGED: log,
         **{f"__key_{c}": strip(F.coalesce(c, F.lit(""))) for c in RULE_COLUMNS}, "__any": F.lit(1),
     })
-    patch = F.struct("priority", *[F.col(f"set_{c}").alias(c) for c in RULE_COLUMNS])
+    ranked = [v for c in RULE_COLUMNS for v in (F.col(f"set_{c}").isNull().alias(f"keeps_{c}"), F.col(f"set_{c}").alias(c))]
+    patch = F.struct("priority", *ranked)
     found = []
     for i, mask in enumerate(masks):
         fields = [c for c, used in zip(RULE_COLUMNS, mask, strict=True) if used]

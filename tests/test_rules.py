@@ -72,3 +72,15 @@ def test_corrections_of_a_table(spark):
                    ("MBC ASS'Y", "any", "OIL JET VISION UNIT"), ("both", "s", "")}
     assert R.correct(df, table.limit(0)).count() == 5
     assert "CartesianProduct" not in R.correct(df, table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corrections_of_equal_priority_fall_to_values_before_kept_fields(spark):
+    df = spark.createDataFrame([("bolt", "s", "EA", "M", "u", 5), ("nut", "s", "EA", "M", "u", 5)], SCHEMA)
+    fields = ", ".join(f"{k}_{c} string" for k in ("match", "set") for c in COLUMNS)
+    table = spark.createDataFrame([
+        (280, None, "s", None, "M", None, None, None, "TYPE", None, None),
+        (280, "bolt", None, None, None, None, None, "by name 280", None, None, None),
+        (280, "bolt", None, None, None, None, None, None, "A", None, None),
+    ], "priority bigint, " + fields)
+    got = {(r["item_name"], r["spec"], r["unit"]) for r in R.correct(df, table).collect()}
+    assert got == {("bolt", "by name 280", "EA"), ("nut", "s", "TYPE")}
