@@ -196,3 +196,20 @@ def test_both_layouts_share_one_scan_and_one_exchange(spark, tmp_path, monkeypat
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 0 and plan.count("Scan parquet") == 1
     assert items.count() == 3
+
+
+def test_a_row_is_read_once_and_only_sheets_with_items_move(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    _sheets(spark, [COVER, ASSY]).withColumn("layout_group", F.lit("standard")).write.parquet(path)
+    raw = spark.read.parquet(path)
+    stored = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (stored.append(written(df, name)), stored[-1])[1])
+    items = I.parse_items(raw)
+    assert items.count() == 3 and {r["sheet"] for r in stored[0].select("sheet").distinct().collect()} == {ASSY[0]}
+    for df in (items, items.filter("unit_price > 5 AND item_name <> 'x'")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("transform(cells") == 1
+    positional = G.positional_items(raw.withColumn("unit_name", F.col("sheet")), 1000, [])
+    assert positional._jdf.queryExecution().optimizedPlan().toString().count("transform(cells") == 1
+    for positions in (I.positions_standard, I.positions_assembly):
+        plan = raw.select(positions(F.col("cells")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("contains(replace(") <= 12

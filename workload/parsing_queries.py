@@ -26,12 +26,12 @@ def _routed(spark, sf):
     return raw.join(L.detect_layout(raw), "file_id")
 
 
-def _of(layout, routed):
-    return routed.filter(F.col("layout_group") == layout).drop("layout_group")
+def _only(layout, routed):
+    return routed.filter(F.col("layout_group") == layout)
 
 
 def _items(spark, sf, layout):
-    return _of(layout, I.parse_items(_routed(spark, sf)))
+    return I.parse_items(_only(layout, _routed(spark, sf))).drop("layout_group")
 
 
 @query("src_rows_clean", r"""
@@ -79,12 +79,12 @@ def prs_skip_sheet_asm(spark, sf):
 
 @query("prs_unit_name_std", sql("SELECT file_id, 'UNIT ' || project AS unit_name FROM files WHERE kind < 2", "files"))
 def prs_unit_name_std(spark, sf):
-    return I.heads_standard(_of("standard", L.clean_rows(_routed(spark, sf)))).select("file_id", "unit_name")
+    return I.heads_standard(L.clean_rows(_only("standard", _routed(spark, sf)))).select("file_id", "unit_name")
 
 
 @query("prs_unit_name_asm", sql("SELECT file_id, unnest(['공정 10', '공정 20']) AS unit_name FROM files WHERE kind = 2", "files"))
 def prs_unit_name_asm(spark, sf):
-    return I.heads_assembly(_of("assembly", L.clean_rows(_routed(spark, sf)))).select("file_id", "unit_name")
+    return I.heads_assembly(L.clean_rows(_only("assembly", _routed(spark, sf)))).select("file_id", "unit_name")
 
 
 @query("prs_header_row", sql("""
@@ -92,7 +92,7 @@ SELECT file_id, 1 AS sheet_idx, 1 AS header_idx FROM files WHERE kind < 2 UNION
 SELECT file_id, unnest([1, 2]), 1 FROM files WHERE kind = 2""", "files"))
 def prs_header_row(spark, sf):
     """Header row of every sheet that has one, whatever the layout, from one scan."""
-    latched = I.latched_rows(_routed(spark, sf))
+    latched = I.latched_rows(I.item_sheets(_routed(spark, sf)))
     return latched.filter("row_idx = header_idx").select("file_id", "sheet_idx", F.col("header_idx").cast("int").alias("header_idx"))
 
 
@@ -100,7 +100,7 @@ def prs_header_row(spark, sf):
 SELECT file_id, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price, 6 AS pos_amount, 7 AS pos_maker
 FROM files WHERE kind < 2""", "files"))
 def prs_map_columns_std(spark, sf):
-    mapped = I.map_columns_standard(I.heads_standard(_of("standard", L.clean_rows(_routed(spark, sf)))))
+    mapped = I.map_columns_standard(I.heads_standard(L.clean_rows(_only("standard", _routed(spark, sf)))))
     return mapped.select("file_id", *[f"pos_{f}" for f in I.FIELDS])
 
 
@@ -108,7 +108,7 @@ def prs_map_columns_std(spark, sf):
 SELECT file_id, unnest([1, 2]) AS sheet_idx, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price,
   6 AS pos_amount FROM files WHERE kind = 2""", "files"))
 def prs_map_columns_asm(spark, sf):
-    mapped = I.map_columns_assembly(I.heads_assembly(_of("assembly", L.clean_rows(_routed(spark, sf)))))
+    mapped = I.map_columns_assembly(I.heads_assembly(L.clean_rows(_only("assembly", _routed(spark, sf)))))
     return mapped.select("file_id", "sheet_idx", *[f"pos_{f}" for f in I.FIELDS if f != "maker"])
 
 
@@ -126,14 +126,14 @@ def prs_row_asm(spark, sf):
 SELECT file_id, 'V' || customer AS vendor, 'Q-' || header_id AS quote_no, quote_date, project, total AS total_amount
 FROM files WHERE kind < 2""", "files"))
 def prs_header_std(spark, sf):
-    return _of("standard", H.header_fields(L.clean_rows(_routed(spark, sf))))
+    return H.header_fields(L.clean_rows(_only("standard", _routed(spark, sf)))).drop("layout_group")
 
 
 @query("prs_header_asm", sql("""
 SELECT file_id, 'V' || lpad(CAST(customer AS VARCHAR), 6, '0') AS vendor, 'Q-' || header_id AS quote_no, quote_date,
   project, CAST(NULL AS BIGINT) AS total_amount FROM files WHERE kind = 2""", "files"))
 def prs_header_asm(spark, sf):
-    return _of("assembly", H.header_fields(L.clean_rows(_routed(spark, sf))))
+    return H.header_fields(L.clean_rows(_only("assembly", _routed(spark, sf)))).drop("layout_group")
 
 
 @query("win_first_hit", sql("""
