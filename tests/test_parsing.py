@@ -213,3 +213,22 @@ def test_a_row_is_read_once_and_only_sheets_with_items_move(spark, tmp_path, mon
     for positions in (I.positions_standard, I.positions_assembly):
         plan = raw.select(positions(F.col("cells")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("contains(replace(") <= 12
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 1 << 16])
+def test_positional_parsers_number_rows_in_their_own_exchange(spark, monkeypatch, size):
+    line = ["1", "볼트", "M3", "EA", "2", "1,000", "2,000", "THK"]
+    raw = _sheets(spark, [("A ASSY", [[" "], ["가", "나"], [" "], ["다"], ["x"], ["y"], ["늦은 제목"], line]), ("B ASSY", [[" "], ["단위 이름"], line]),
+                          ("F", [["", "□ 단위공사명", "고정"], ["", ""], ["No"], ["", "1", "볼트", "M3", "EA", "2", "1,000", "2,000", "THK"]])])
+    monkeypatch.setattr(segments, "SEGMENT_ROWS", size)
+    for parse in (G.parse_standard_positional, G.parse_assembly_positional, G.parse_fixed):
+        one, two = parse(L.clean_rows(raw)), parse(L.filled_rows(raw), renumber=True)
+        assert sorted(map(str, two.collect())) == sorted(map(str, one.collect())) and not one.isEmpty()
+    routed = raw.withColumn("layout_group", F.lit("standard"))
+    stored = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (stored.append(written(df, name)), stored[-1])[1])
+    want = I.latched_rows(routed).filter("row_idx = header_idx").select("file_id", "sheet_idx", F.col("header_idx").cast("int"))
+    stored.clear()
+    got = I.header_rows(routed.union(_sheets(spark, [ASSY], file_id="f2").withColumn("layout_group", F.lit("standard"))))
+    assert got.filter("file_id = 'f2'").head()["header_idx"] == 1 and "cells" not in stored[0].columns
+    assert got.filter("file_id <> 'f2'").exceptAll(want).isEmpty()

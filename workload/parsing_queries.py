@@ -20,6 +20,11 @@ def _rows(spark, sf):
     return L.clean_rows(T.sheet_rows(spark, sf))
 
 
+def _filled(spark, sf):
+    """Rows for operators that number them with their own exchange."""
+    return L.filled_rows(T.sheet_rows(spark, sf))
+
+
 def _routed(spark, sf):
     """Raw rows of every workbook with its detected layout."""
     raw = T.sheet_rows(spark, sf)
@@ -79,12 +84,12 @@ def prs_skip_sheet_asm(spark, sf):
 
 @query("prs_unit_name_std", sql("SELECT file_id, 'UNIT ' || project AS unit_name FROM files WHERE kind < 2", "files"))
 def prs_unit_name_std(spark, sf):
-    return I.heads_standard(L.clean_rows(_only("standard", _routed(spark, sf)))).select("file_id", "unit_name")
+    return I.heads_standard(L.clean_rows(I.item_sheets(_only("standard", _routed(spark, sf))))).select("file_id", "unit_name")
 
 
 @query("prs_unit_name_asm", sql("SELECT file_id, unnest(['공정 10', '공정 20']) AS unit_name FROM files WHERE kind = 2", "files"))
 def prs_unit_name_asm(spark, sf):
-    return I.heads_assembly(L.clean_rows(_only("assembly", _routed(spark, sf)))).select("file_id", "unit_name")
+    return I.heads_assembly(L.clean_rows(I.item_sheets(_only("assembly", _routed(spark, sf))))).select("file_id", "unit_name")
 
 
 @query("prs_header_row", sql("""
@@ -92,15 +97,14 @@ SELECT file_id, 1 AS sheet_idx, 1 AS header_idx FROM files WHERE kind < 2 UNION
 SELECT file_id, unnest([1, 2]), 1 FROM files WHERE kind = 2""", "files"))
 def prs_header_row(spark, sf):
     """Header row of every sheet that has one, whatever the layout, from one scan."""
-    latched = I.latched_rows(I.item_sheets(_routed(spark, sf)))
-    return latched.filter("row_idx = header_idx").select("file_id", "sheet_idx", F.col("header_idx").cast("int").alias("header_idx"))
+    return I.header_rows(_routed(spark, sf))
 
 
 @query("prs_map_columns_std", sql("""
 SELECT file_id, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price, 6 AS pos_amount, 7 AS pos_maker
 FROM files WHERE kind < 2""", "files"))
 def prs_map_columns_std(spark, sf):
-    mapped = I.map_columns_standard(I.heads_standard(L.clean_rows(_only("standard", _routed(spark, sf)))))
+    mapped = I.map_columns_standard(I.heads_standard(L.clean_rows(I.item_sheets(_only("standard", _routed(spark, sf))))))
     return mapped.select("file_id", *[f"pos_{f}" for f in I.FIELDS])
 
 
@@ -108,7 +112,7 @@ def prs_map_columns_std(spark, sf):
 SELECT file_id, unnest([1, 2]) AS sheet_idx, 1 AS pos_item_name, 2 AS pos_spec, 3 AS pos_unit, 4 AS pos_quantity, 5 AS pos_unit_price,
   6 AS pos_amount FROM files WHERE kind = 2""", "files"))
 def prs_map_columns_asm(spark, sf):
-    mapped = I.map_columns_assembly(I.heads_assembly(L.clean_rows(_only("assembly", _routed(spark, sf)))))
+    mapped = I.map_columns_assembly(I.heads_assembly(L.clean_rows(I.item_sheets(_only("assembly", _routed(spark, sf))))))
     return mapped.select("file_id", "sheet_idx", *[f"pos_{f}" for f in I.FIELDS if f != "maker"])
 
 
@@ -230,21 +234,21 @@ def prs_v1_row(spark, sf):
 
 @query("prs_v1_standard", sql(_positional("std_cells", "1", "rn + 1", 1000), "std_cells"))
 def prs_v1_standard(spark, sf):
-    return G.parse_standard_positional(_rows(spark, sf))
+    return G.parse_standard_positional(_filled(spark, sf), renumber=True)
 
 
 @query("prs_v1_assembly", sql(_V1_ROWS, "std_cells", "asm_cells"))
 def prs_v1_assembly(spark, sf):
     """All workbooks read as assemblies: every sheet is a unit."""
-    return G.parse_assembly_positional(_rows(spark, sf))
+    return G.parse_assembly_positional(_filled(spark, sf), renumber=True)
 
 
 @query("prs_v1_install", sql(_positional("std_cells", "1", "rn + 1", 100), "std_cells"))
 def prs_v1_install(spark, sf):
-    rows = _rows(spark, sf).withColumn(
+    rows = _filled(spark, sf).withColumn(
         "sheet", F.when(F.col("sheet") == "ASSY-1", F.lit("1. 공사(라인)")).otherwise(F.col("sheet"))
     )
-    return G.parse_installation(rows)
+    return G.parse_installation(rows, renumber=True)
 
 
 def _fixed_rows(spark, sf):
@@ -327,7 +331,7 @@ _BOTH = (f"({_positional('std_cells', '1', 'rn + 1', 1000)}) UNION ALL ({_positi
 SELECT i.*, f.file_name, f.vendor, f.project, f.quote_no, f.quote_date, f.entry_date
 FROM ({_BOTH}) i JOIN file_meta f USING (file_id)""", "std_cells", "asm_cells", "file_meta"))
 def prs_v1_dispatch(spark, sf):
-    return G.parse_by_layout(_named(_rows(spark, sf)), _file_meta(spark, sf))
+    return G.parse_by_layout(_named(_filled(spark, sf)), _file_meta(spark, sf), renumber=True)
 
 
 @query("set_union_items", sql("SELECT * FROM std_items UNION ALL SELECT * FROM asm_items", "std_items", "asm_items"))
