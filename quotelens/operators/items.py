@@ -74,46 +74,78 @@ def heads_assembly(rows: DataFrame) -> DataFrame:
     )
 
 
-def field_standard(header_cell: Column) -> Column:
-    """Field named by a header cell, null for any other cell."""
-    c = F.replace(header_cell, F.lit(" "), F.lit(""))
+# One letter for each field, so that the fields of a header row are a short text.
+_CODES = dict(zip(FIELDS, "nsuqpam"))
+
+
+def _coded(cells: Column, code: Callable[[Column], Column]) -> Column:
+    """The letter of every header cell, `-` for a cell that names no field, as one text."""
+    plain = F.transform(cells, lambda c: F.replace(c, F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(plain, lambda c: F.coalesce(code(c), F.lit("-"))), "")
+
+
+def _letter(field: str) -> Column:
+    return F.lit(_CODES[field])
+
+
+def _field_standard(c: Column) -> Column:
     return (
-        F.when(c.contains("품명"), F.lit("item_name"))
-        .when(c.contains("규격"), F.lit("spec"))
-        .when(c.contains("단위") & ~c.contains("단가"), F.lit("unit"))
-        .when(c.contains("수량"), F.lit("quantity"))
-        .when(c.contains("단가"), F.lit("unit_price"))
-        .when(c.contains("금액"), F.lit("amount"))
-        .when(contains_any(c, V.MAKER_HEADER_WORDS), F.lit("maker"))
+        F.when(c.contains("품명"), _letter("item_name"))
+        .when(c.contains("규격"), _letter("spec"))
+        .when(c.contains("단위") & ~c.contains("단가"), _letter("unit"))
+        .when(c.contains("수량"), _letter("quantity"))
+        .when(c.contains("단가"), _letter("unit_price"))
+        .when(c.contains("금액"), _letter("amount"))
+        .when(contains_any(c, V.MAKER_HEADER_WORDS), _letter("maker"))
     )
 
 
-def field_assembly(header_cell: Column) -> Column:
-    c = F.replace(header_cell, F.lit(" "), F.lit(""))
+def _field_assembly(c: Column) -> Column:
     return (
-        F.when(contains_any(c, ["품명", "장치", "내용"]), F.lit("item_name"))
-        .when(c.contains("규격"), F.lit("spec"))
-        .when(c.contains("단위") & ~c.contains("단가"), F.lit("unit"))
-        .when(c.contains("수량"), F.lit("quantity"))
-        .when(c.contains("단가"), F.lit("unit_price"))
-        .when(c.contains("금액") | c.contains("견적"), F.lit("amount"))
+        F.when(contains_any(c, ["품명", "장치", "내용"]), _letter("item_name"))
+        .when(c.contains("규격"), _letter("spec"))
+        .when(c.contains("단위") & ~c.contains("단가"), _letter("unit"))
+        .when(c.contains("수량"), _letter("quantity"))
+        .when(c.contains("단가"), _letter("unit_price"))
+        .when(c.contains("금액") | c.contains("견적"), _letter("amount"))
     )
 
 
-def _position(fields: Column, name: str, first: bool) -> Column:
-    """0-based position of a field, null when absent."""
-    if first:
-        at = F.array_position(fields, name)
-    else:
-        back = F.array_position(F.reverse(fields), name)
-        at = F.when(back > 0, F.size(fields) - back + 1).otherwise(F.lit(0))
-    return F.when(at > 0, (at - 1).cast("int"))
+def _first_at(letters: Column, letter: str) -> Column:
+    """0-based position of the first such letter, null when absent."""
+    return F.nullif(F.instr(letters, letter), F.lit(0)) - 1
+
+
+def _last_at(letters: Column, letter: str) -> Column:
+    return F.length(letters) - F.nullif(F.instr(F.reverse(letters), letter), F.lit(0))
+
+
+def fields_standard(cells: Column) -> Column:
+    return _coded(cells, _field_standard)
+
+
+def fields_assembly(cells: Column) -> Column:
+    """Fields of a header row; a cell that could stand in for a name cell is `N` in `usable`, else `-`."""
+    usable = F.transform(cells, lambda c: F.when(
+        (c != "") & ~contains_any(c, V.ASSEMBLY_NAME_FALLBACK_STOP), F.lit("N")).otherwise(F.lit("-")))
+    return F.struct(_coded(cells, _field_assembly).alias("fields"), F.array_join(usable, "").alias("usable"))
+
+
+def _positions_standard(found: Column) -> Column:
+    return F.struct(*[_last_at(found, _CODES[f]).alias(f) for f in FIELDS])
+
+
+def _positions_assembly(found: Column, usable: Column) -> Column:
+    first = {"item_name", "amount"}
+    at = {f: (_first_at if f in first else _last_at)(found, _CODES[f]) for f in FIELDS if f != "maker"}
+    left = F.substring(usable, F.lit(1), F.coalesce(at["unit_price"], F.lit(0)))
+    at |= {"item_name": F.coalesce(at["item_name"], _last_at(left, "N")), "maker": F.lit(None).cast("int")}
+    return F.struct(*[at[f].alias(f) for f in FIELDS])
 
 
 def positions_standard(cells: Column) -> Column:
     """Column position of every field in a header row; the last matching header cell wins."""
-    fields = F.transform(cells, lambda c: F.coalesce(field_standard(c), F.lit("")))
-    return named(fields, lambda found: F.struct(*[_position(found, f, first=False).alias(f) for f in FIELDS]))
+    return named(fields_standard(cells), _positions_standard)
 
 
 def positions_assembly(cells: Column) -> Column:
@@ -121,19 +153,7 @@ def positions_assembly(cells: Column) -> Column:
 
     Without a name column the nearest usable cell left of the unit price stands in.
     """
-    fields = F.transform(cells, lambda c: F.coalesce(field_assembly(c), F.lit("")))
-    usable = F.transform(cells, lambda c: (c != "") & ~contains_any(c, V.ASSEMBLY_NAME_FALLBACK_STOP))
-    first = {"item_name", "amount"}
-
-    def mapped(found: Column) -> Column:
-        at = {f: _position(found, f, f in first) for f in FIELDS if f != "maker"}
-        left = F.slice(usable, F.lit(1), F.coalesce(at["unit_price"], F.lit(0)))
-        back = F.array_position(F.reverse(left), True)
-        stand_in = F.when(back > 0, (F.size(left) - back).cast("int"))
-        at |= {"item_name": F.coalesce(at["item_name"], stand_in), "maker": F.lit(None).cast("int")}
-        return F.struct(*[at[f].alias(f) for f in FIELDS])
-
-    return named(fields, mapped)
+    return named(fields_assembly(cells), lambda f: _positions_assembly(f["fields"], f["usable"]))
 
 
 def _mapped(heads: DataFrame, positions: Callable[[Column], Column]) -> DataFrame:
@@ -157,19 +177,20 @@ def _by_layout(standard: Column, assembly: Column) -> Column:
     return F.when(F.col("layout_group") == "standard", standard).when(F.col("layout_group") == "assembly", assembly)
 
 
-def _headings() -> tuple[Column, Column]:
-    """Whether a row is a header row of a standard sheet, and of an assembly sheet."""
-    cells, sheet = F.col("cells"), F.col("sheet")
-    return (
-        ~skip_sheet_standard(sheet) & (header_hits(cells, V.STANDARD_HEADER_WORDS) >= 3),
-        ~skip_sheet_assembly(sheet) & (header_hits(cells, V.ASSEMBLY_HEADER_WORDS) >= 2),
+def _with_heading(filled: DataFrame) -> DataFrame:
+    """`filled` with `__heading`: true for a header row of its layout, else null."""
+    joined = filled.withColumn("__text", F.concat_ws("\n", "cells"))
+    cells, sheet, text = F.col("cells"), F.col("sheet"), F.col("__text")
+    heading = _by_layout(
+        ~skip_sheet_standard(sheet) & (header_hits(cells, V.STANDARD_HEADER_WORDS, text) >= 3),
+        ~skip_sheet_assembly(sheet) & (header_hits(cells, V.ASSEMBLY_HEADER_WORDS, text) >= 2),
     )
+    return joined.withColumn("__heading", F.when(heading, F.lit(True))).drop("__text")
 
 
 def header_rows(sheet_rows: DataFrame) -> DataFrame:
     """file_id, sheet_idx, header_idx of every sheet with a header row; rows move without their cells."""
-    heading = F.when(_by_layout(*_headings()), F.lit(True))
-    offers = filled_rows(item_sheets(sheet_rows)).select(*SHEET, "row_idx", heading.alias("heading"))
+    offers = _with_heading(filled_rows(item_sheets(sheet_rows))).select(*SHEET, "row_idx", F.col("__heading").alias("heading"))
     latched = segmented(offers, SHEET, {"head": F.col("heading")}, renumber=True)
     return latched.filter("row_idx = head_at").select(*SHEET, F.col("head_at").cast("int").alias("header_idx"))
 
@@ -182,14 +203,20 @@ def latched_rows(sheet_rows: DataFrame, renumber: bool = True) -> DataFrame:
     Rows of sheets that a layout skips offer nothing. Positions are null without a header row.
     """
     cells, sheet = F.col("cells"), F.col("sheet")
-    standard, assembly = _headings()
-    positions = _by_layout(
-        F.when(standard, positions_standard(cells)), F.when(assembly, positions_assembly(cells))
-    )
+    # Each step is a column: the next one reads it, compiled, instead of working it out again.
+    headed = _with_heading(filled_rows(sheet_rows))
+    headed = headed.withColumns({
+        "__std": F.when(F.col("__heading") & (F.col("layout_group") == "standard"), fields_standard(cells)),
+        "__asm": F.when(F.col("__heading") & (F.col("layout_group") == "assembly"), fields_assembly(cells)),
+    })
+    positions = F.when(F.col("__std").isNotNull(), _positions_standard(F.col("__std"))).when(
+        F.col("__asm").isNotNull(), _positions_assembly(F.col("__asm.fields"), F.col("__asm.usable")))
+    headed = headed.withColumn("__pos", positions)
     title = _by_layout(unit_name_standard(cells), unit_name_assembly(cells))
     top = _by_layout(F.lit(4), F.lit(1))
     latched = segmented(
-        filled_rows(sheet_rows), SHEET, {"pos": positions, "title": F.when(F.col(AT) < top, title)}, renumber
+        headed.drop("__heading", "__std", "__asm"), SHEET, {"pos": F.col("__pos"), "title": F.when(F.col(AT) < top, title)},
+        renumber, dropped=("__pos",),
     )
     unit_name = F.coalesce(F.when(F.col("title_at") < top, F.col("title")), sheet)
     return latched.withColumn("unit_name", unit_name).withColumnRenamed("pos_at", "header_idx").drop("title", "title_at")
@@ -223,31 +250,30 @@ def items_of(latched: DataFrame) -> DataFrame:
         to_double(_cell("quantity")).alias("quantity"), to_long(_cell("unit_price")).alias("unit_price"),
         to_long(_cell("amount")).alias("amount"), _by_layout(_cell("maker"), F.lit("")).alias("maker"),
     )
-
-    def usable(r: Column) -> Column:
-        return _by_layout(
-            _usable_name(r["item_name"], V.STANDARD_SKIP_ROW_WORDS) & ~r["item_name"].startswith("0")
-            & (r["unit_price"].isNotNull() | r["amount"].isNotNull()),
-            _usable_name(r["item_name"], V.ASSEMBLY_SKIP_ROW_WORDS),
-        )
-
-    def from_row(r: Column, nums: Column) -> Column:
-        values = {
-            "amount": from_end(nums, 1).try_cast("bigint"),
-            "unit_price": from_end(nums, 2).try_cast("bigint"),
-            "quantity": from_end(nums, 3),
-        }
-        found = {n: F.when(F.size(nums) >= 2, _by_layout(_or_fallback(r[n], v), v)).otherwise(r[n]) for n, v in values.items()}
-        return F.struct(*[found.get(f, r[f]).alias(f) for f in FIELDS])
-
-    def completed(r: Column) -> Column:
-        missing = _by_layout(r["unit_price"].isNull() | r["amount"].isNull(), F.coalesce(r["unit_price"], F.lit(0)) <= 0)
-        return F.when(missing, named(numbers(c("cells")), lambda nums: from_row(r, nums))).otherwise(r)
-
-    item = named(named(raw, lambda r: F.when(usable(r), completed(r))), lambda r: F.when(r["unit_price"] > 0, r))
-    below = latched.filter((c("row_idx") > c("header_idx")) & mapped)
-    found = inlined(below, [*ITEM_COLUMNS[:4], "layout_group"], item)
-    return found.withColumn("category", F.lit(V.DEFAULT_CATEGORY)).select(*ITEM_COLUMNS, "layout_group")
+    r, nums = c("__raw"), c("__nums")
+    usable = _by_layout(
+        _usable_name(r["item_name"], V.STANDARD_SKIP_ROW_WORDS) & ~r["item_name"].startswith("0")
+        & (r["unit_price"].isNotNull() | r["amount"].isNotNull()),
+        _usable_name(r["item_name"], V.ASSEMBLY_SKIP_ROW_WORDS),
+    )
+    missing = _by_layout(r["unit_price"].isNull() | r["amount"].isNull(), F.coalesce(r["unit_price"], F.lit(0)) <= 0)
+    values = {
+        "amount": from_end(nums, 1).try_cast("bigint"),
+        "unit_price": from_end(nums, 2).try_cast("bigint"),
+        "quantity": from_end(nums, 3),
+    }
+    # The numbers of a row are only looked at where its own cells leave a gap; fewer than two fill none.
+    found = {n: F.when(F.size(nums) >= 2, _by_layout(_or_fallback(r[n], v), v)).otherwise(r[n]) for n, v in values.items()}
+    completed = F.struct(*[found.get(f, r[f]).alias(f) for f in FIELDS])
+    item = F.when(c("__usable"), F.when(nums.isNotNull(), completed).otherwise(r))
+
+    # Step by step, each a column that the next reads: nested in lambdas all of it would be interpreted.
+    below = latched.filter((c("row_idx") > c("header_idx")) & mapped).withColumn("__raw", raw)
+    below = below.withColumn("__usable", F.coalesce(usable, F.lit(False)))
+    below = below.withColumn("__nums", F.when(c("__usable") & missing, numbers(c("cells")))).withColumn("__item", item)
+    priced = F.when(c("__item.unit_price") > 0, c("__item"))
+    items = inlined(below, [*ITEM_COLUMNS[:4], "layout_group"], priced)
+    return items.withColumn("category", F.lit(V.DEFAULT_CATEGORY)).select(*ITEM_COLUMNS, "layout_group")
 
 
 def item_sheets(sheet_rows: DataFrame) -> DataFrame:

@@ -71,7 +71,11 @@ def skip_sheet_assembly(sheet: Column) -> Column:
     return sheet.isin(*V.ASSEMBLY_SKIP_SHEETS) | contains_any(sheet, V.ASSEMBLY_SKIP_SHEET_WORDS)
 
 
-def header_hits(cells: Column, words: list[str]) -> Column:
-    """How many cells of a row contain a header word; most rows hold none, which the whole row tells first."""
-    some = any_of(F.concat_ws("\n", cells).contains(w) for w in words)
+def header_hits(cells: Column, words: list[str], joined: Column | None = None) -> Column:
+    """How many cells of a row contain a header word; most rows hold none, which the whole row tells first.
+
+    `joined` is the row's cells by line, where that is a column already: each word would join them again.
+    """
+    row = F.concat_ws("\n", cells) if joined is None else joined
+    some = any_of(row.contains(w) for w in words)
     return F.when(some, F.size(F.filter(cells, lambda c: contains_any(c, words)))).otherwise(F.lit(0))

@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelens.functions.text import named
 from quotelens.plans.checkpoints import written
 
 SEGMENT_ROWS = 1 << 16
 # Number of a row in its range; latch values may refer to it.
 AT = "__at"
-_SEGMENT, _ROWS, _OFFSET = "__segment", "__rows", "__offset"
+_SEGMENT, _ROWS, _OFFSET, _OFFER = "__segment", "__rows", "__offset", "__offer_"
 
 
 def _ranges(rows: DataFrame, keys: list[str], values: dict[str, Column], renumber: bool, order: str, size: int) -> DataFrame:
@@ -27,11 +26,13 @@ def _ranges(rows: DataFrame, keys: list[str], values: dict[str, Column], renumbe
     cut = rows.withColumn(_SEGMENT, F.floor(F.col(order) / size))
     number = F.row_number().over(group.orderBy(order)) - 1 if renumber else F.col(order)
     numbered = cut.withColumn(AT, number.cast("bigint"))
+    # Offers are columns of their own: inside a lambda they would be interpreted, not compiled.
+    offered = numbered.withColumns({f"{_OFFER}{name}": value for name, value in values.items()})
     firsts = {
-        name: F.min(named(value, lambda v: F.when(v.isNotNull(), F.struct(F.col(AT).alias("at"), v.alias("v"))))).over(group)
-        for name, value in values.items()
+        name: F.min(F.when(F.col(_OFFER + name).isNotNull(), F.struct(F.col(AT).alias("at"), F.col(_OFFER + name).alias("v")))).over(group)
+        for name in values
     }
-    return numbered.withColumns({**firsts, _ROWS: F.count(F.lit(1)).over(group)})
+    return offered.withColumns({**firsts, _ROWS: F.count(F.lit(1)).over(group)}).drop(*[_OFFER + name for name in values])
 
 
 def _carries(stored: DataFrame, several: DataFrame, keys: list[str], names: list[str], renumber: bool) -> DataFrame:
@@ -53,17 +54,18 @@ def _carries(stored: DataFrame, several: DataFrame, keys: list[str], names: list
 
 def segmented(
     rows: DataFrame, keys: list[str], values: dict[str, Column] | None = None, renumber: bool = False,
-    order: str = "row_idx", size: int | None = None,
+    order: str = "row_idx", size: int | None = None, dropped: tuple[str, ...] = (),
 ) -> DataFrame:
     """`rows` with, for every latch, its first value in the sheet and the number of the row that had it.
 
     `keys` name a sheet and `order` its rows. With `renumber`, `order` becomes a dense number from 0.
-    Latch `x` gives the columns `x` and `x_at`, null where no row of the sheet has a value.
+    Latch `x` gives the columns `x` and `x_at`, null where no row of the sheet has a value. Columns in
+    `dropped` serve the latches alone and are not stored.
     """
     values = values or {}
     names = list(values)
-    kept = [c for c in rows.columns if c != order]
-    stored = written(_ranges(rows, keys, values, renumber, order, size or SEGMENT_ROWS), "segments")
+    kept = [c for c in rows.columns if c != order and c not in dropped]
+    stored = written(_ranges(rows, keys, values, renumber, order, size or SEGMENT_ROWS).drop(*dropped), "segments")
     later = stored.filter(F.col(_SEGMENT) > 0).select(*keys)
     if later.isEmpty():
         numbered, latch = stored.withColumn(_OFFSET, F.lit(0).cast("bigint")), {n: F.col(n) for n in names}

@@ -232,3 +232,22 @@ def test_positional_parsers_number_rows_in_their_own_exchange(spark, monkeypatch
     got = I.header_rows(routed.union(_sheets(spark, [ASSY], file_id="f2").withColumn("layout_group", F.lit("standard"))))
     assert got.filter("file_id = 'f2'").head()["header_idx"] == 1 and "cells" not in stored[0].columns
     assert got.filter("file_id <> 'f2'").exceptAll(want).isEmpty()
+
+
+def test_a_row_is_joined_once_and_a_header_is_a_text(spark, tmp_path, monkeypatch):
+    """Header words are looked for in one joined text, and positions are not worked out inside a lambda."""
+    path = str(tmp_path / "rows")
+    _sheets(spark, [COVER, ASSY]).withColumn("layout_group", F.lit("standard")).write.parquet(path)
+    plans = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, name))[1])
+    assert I.parse_items(spark.read.parquet(path)).count() == 3
+    assert plans[0].count("concat_ws(") == 1 and "array_position" not in plans[0]
+    heads = spark.createDataFrame(
+        [(["위치", "x", "규 격", "단가(원)", "단가", "금액", "견적", "단위"],), (["단가"],), (["품명", "품 명", "단위", "메이커", ""],)],
+        "header_cells array<string>")
+    fields = [f"pos_{f}" for f in I.FIELDS]
+    assert [tuple(r) for r in I.map_columns_assembly(heads).select(*fields).collect()] == [
+        (3, 2, 7, None, 4, 5, None), (None, None, None, None, 0, None, None), (0, None, 2, None, None, None, None)]
+    assert [tuple(r) for r in I.map_columns_standard(heads).select(*fields).collect()] == [
+        (None, 2, 7, None, 4, 5, None), (None, None, None, None, 0, None, None), (1, None, 2, None, None, None, 3)]

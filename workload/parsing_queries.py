@@ -28,7 +28,7 @@ def _filled(spark, sf):
 def _routed(spark, sf):
     """Raw rows of every workbook with its detected layout."""
     raw = T.sheet_rows(spark, sf)
-    return raw.join(L.detect_layout(raw), "file_id")
+    return raw.join(L.detect_layout(raw).hint("shuffle_hash"), "file_id")
 
 
 def _only(layout, routed):
