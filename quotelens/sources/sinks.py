@@ -31,6 +31,11 @@ REVIEW_EXPORT = {
     "discount": "할인율(%)", "discount_price": "할인율적용가", "recommended": "시스템추천",
     "basis": "검토근거", "final_price": "최종검토가",
 }
+# What review_records reads.
+REVIEW_INPUT = [
+    "unit_name", "item_name", "spec", "unit", "quantity", "quote_price", "final_price", "basis", "standard_price", "market_price",
+    "discount",
+]
 
 
 def export(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotelens import fixed_values as V
 from quotelens.operators import master as M
 from quotelens.operators import review as R
-from quotelens.plans.checkpoints import scratch_path
+from quotelens.plans.checkpoints import scratch_path, written
 from quotelens.sources import sinks
 from workload import tables as T
 from workload.registry import query
@@ -236,7 +236,8 @@ SELECT DATE '2024-06-01' AS review_date, 'upload.xlsx' AS source_file, unit_name
 @query("snk_review_append", sql(_RECORDS + " UNION ALL" + _RECORDS.replace("2024-06-01", "2024-05-01"), "review"))
 def snk_review_append(spark, sf):
     """Two review batches appended to one stored log, read back whole."""
-    review, path = _review(spark, sf), scratch_path(spark, "review-log")
+    # Worked out and stored once; both batches are written from there.
+    review, path = written(_review(spark, sf).select(*sinks.REVIEW_INPUT), "review"), scratch_path(spark, "review-log")
     for day in ("2024-05-01", TODAY):
         sinks.append_table(sinks.review_records(review, "upload.xlsx", F.lit(day).cast("date")), path)
     return spark.read.parquet(path)
