@@ -156,10 +156,8 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
             state = np.concatenate([here.astype(np.int8), np.full(len(told), 2, np.int8)])
             anchor = np.concatenate([anchor, told])
             owner = np.concatenate([owner, np.zeros(len(told), np.int64)])
-            route = np.where(state == 1, owner, anchor.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), _signed(anchor), pa.array(owner), pa.array(state)],
-                names=["route", "anchor", "row_key", "state"],
+                [_signed(anchor), pa.array(owner), pa.array(state)], names=["anchor", "row_key", "state"]
             )
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +184,32 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield known(held)
 
-    scanned = docs.select("row_key", "text").mapInArrow(scan, "route bigint, anchor bigint, row_key bigint, state tinyint")
-    dealt = scanned.repartition("route").select("anchor", "row_key", "state").sortWithinPartitions("anchor")
+    scanned = docs.select("row_key", "text").mapInArrow(scan, "anchor bigint, row_key bigint, state tinyint")
+    # Worked out where rows are dealt, so it does not travel as a column.
+    route = F.when(F.col("state") == 1, F.col("row_key")).otherwise(F.col("anchor"))
+    dealt = scanned.repartition(route).sortWithinPartitions("anchor")
     return dealt.mapInArrow(settle, "row_key bigint, anchor bigint")
 
 
+def joined_runs(rank: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rank, key, start, count) with neighbouring runs of windows of one row made one."""
+    order = np.lexsort((start, key, rank))
+    rank, key, start, count = (x[order] for x in (rank, key, start, count))
+    follows = (rank[1:] == rank[:-1]) & (key[1:] == key[:-1]) & (start[1:] == start[:-1] + count[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~follows])[:len(rank)])
+    return rank[head], key[head], start[head], np.add.reduceat(count, head) if len(head) else count
+
+
+def anchor_marks(anchors: np.ndarray) -> np.ndarray:
+    """Upper halves of anchors. Among those of one document two rarely agree, and then a segment too many is compared."""
+    return (anchors.view(np.int64) >> 32).astype(np.int32)
+
+
 def _kept_segments(pending: DataFrame, scheme: Scheme) -> DataFrame:
-    """Segments of the kept anchors; `covered` where the batch itself holds an earlier equal one."""
+    """Segments of the kept anchors; `covered` where the batch itself holds an earlier equal one.
+
+    Of covered windows only the place is asked for later: neighbouring ones are one row, without anchor and content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers()
@@ -202,7 +219,7 @@ def _kept_segments(pending: DataFrame, scheme: Scheme) -> DataFrame:
             columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, data in enumerate(_texts(batch)):
                 found = segments(scheme, scheme.units(data), powers)
-                mask = np.isin(found.anchor, np.array(kept[i], dtype=np.int64).view(np.uint64))
+                mask = np.isin(anchor_marks(found.anchor), np.array(kept[i], dtype=np.int32))
                 n = int(mask.sum())
                 for column, values in zip(columns, (
                     found.anchor[mask].view(np.int64), found.content[mask].view(np.int64), np.full(n, ranks[i]),
@@ -217,6 +234,12 @@ def _kept_segments(pending: DataFrame, scheme: Scheme) -> DataFrame:
             covered = rank > rank[head]
             if scheme.by_place:
                 covered |= (rank == rank[head]) & ((key != key[head]) | (start != start[head]))
+            gone = joined_runs(*(x[covered] for x in (rank, key, start, count)))
+            none = np.zeros(len(gone[0]), dtype=np.int64)
+            anchor, content, rank, key, start, count, covered = (
+                np.concatenate([x[~covered], y])
+                for x, y in zip((anchor, content, rank, key, start, count, covered), (none, none, *gone, none == 0), strict=True)
+            )
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, (anchor, content, rank, key, start.astype(np.int64), count.astype(np.int32), covered))],
                 names=["anchor", "content", "rank", "row_key", "start", "count", "covered"],
@@ -350,7 +373,8 @@ def covered_windows(texts: DataFrame, scheme: Scheme, judge: Judge) -> tuple[Dat
     """(pending, covered): the documents with repeated anchors, one row each, and the covered windows of their rows."""
     ranked = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), "row_key", "text")
     # A row_key covers id and text; two documents that share one by chance would only keep each other's anchors.
-    anchors = repeated_anchors(ranked, scheme).groupBy("row_key").agg(F.collect_set("anchor").alias("anchors"))
+    mark = F.shiftright("anchor", 32).cast("int")
+    anchors = repeated_anchors(ranked, scheme).groupBy("row_key").agg(F.collect_set(mark).alias("anchors"))
     pending = written_by_key(
         ranked.join(anchors, "row_key").dropDuplicates(["row_key", "rank"]).select(*ranked.columns, "anchors"), "pending", "row_key"
     )

@@ -484,3 +484,20 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert sorted((r["doc_id"], r["size"]) for r in got) == sorted(mixed)
     assert sorted((r["doc_id"], r["size"], r["bucket"], r["bucket_len"], r["batch"], r["slot"], r["padding"]) for r in got) == _plain_pack(
         mixed, packing.BUCKETS, packing.BUDGET)
+
+
+def test_neighbouring_covered_windows_travel_as_one_row(spark):
+    got = windows.joined_runs(*(np.array(x) for x in ([1, 0, 0, 0, 1], [5, 7, 7, 7, 4], [3, 9, 0, 4, 0], [2, 1, 4, 3, 3])))
+    assert [x.tolist() for x in got] == [[0, 0, 1, 1], [7, 7, 4, 5], [0, 9, 0, 3], [7, 1, 3, 2]]
+    assert [len(x) for x in windows.joined_runs(*[np.zeros(0, np.int64)] * 4)] == [0] * 4
+    text = "".join(chr(97 + (i * i * 31 + i // 7) % 26) for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{i}-" * 60 + text) for i in range(3)], "doc_id long, text string").coalesce(1)
+    texts = keyed(docs).select(F.col("doc_id").alias("rank"), "row_key", "text")
+    scheme = suffixes.SCHEME
+    scanned = windows.repeated_anchors(texts, scheme)
+    assert "route" not in scanned._jdf.queryExecution().optimizedPlan().toString()
+    anchors = scanned.groupBy("row_key").agg(F.collect_set(F.shiftright("anchor", 32).cast("int")).alias("anchors"))
+    found = windows._kept_segments(texts.join(anchors, "row_key").coalesce(1), scheme)
+    gone = found.where("covered AND rank > 0").groupBy("rank").agg(F.count(F.lit(1)), F.sum("count")).collect()
+    assert len(gone) == 2 and all(n < 20 and windows_ > 2000 for _, n, windows_ in gone)
+    assert found.where("covered AND (anchor <> 0 OR content <> 0)").isEmpty()
