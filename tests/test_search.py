@@ -133,3 +133,31 @@ def test_many_vectors_against_brute_force(spark, tmp_path):
     got = search_many(queries, index, 4)
     assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == want
     assert search_many(queries, build_vector_index(table.limit(0)), 4).count() == 0
+
+
+def test_many_vectors_with_copies_repeated_ids_and_cells_in_pieces(spark, tmp_path, monkeypatch):
+    import numpy as np
+    from quotelens.sources import vectors
+
+    monkeypatch.setattr(vectors, "PIECE_NUMBERS", 8 * 30, raising=False)
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    # A cell of copies, ids that occur twice, a vector that is no number.
+    data += [(300 + i, data[20][1]) for i in range(150)] + [(40, data[3][1]), (80, data[9][1]), (455, [math.nan] + [1.0] * 7)]
+    table = spark.createDataFrame(data, "item_id bigint, embedding array<double>").repartition(5)
+    vectors.build_vector_index(table, cells=4).save(str(tmp_path / "index"))
+    index = vectors.VectorIndex.load(spark, str(tmp_path / "index"))
+    assert index.rows.groupBy("cell", "piece").count().agg({"count": "max"}).head()[0] < 75
+    queries = table.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    want, asked = [], {}
+    for q, v in data:
+        if q % 20 == 0:
+            scores = [(i, float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)))) for i, w in data]
+            asked.setdefault(q, []).extend((-math.inf if math.isnan(s) else -round(s, 6), i) for i, s in scores)
+    for q, scores in asked.items():
+        want += [(q, i, k + 1) for k, (_, i) in enumerate(sorted(scores)[:5])]
+    found = vectors.search_many(queries, index, 5)
+    assert sorted((r["query_id"], r["item_id"], r["rank"]) for r in found.collect()) == sorted(want)
+    # Pairs are scored as matrices inside tasks: no join makes a row of every pair.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
