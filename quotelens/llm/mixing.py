@@ -29,7 +29,8 @@ def source_targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     weight. k is the first place where the next source takes its share without reaching its cap.
     """
     lcm = math.lcm(*weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    # Wide: a weight times the words of the corpus leaves 32 bits before those words do.
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("bigint")
     sources = _ordered_sources(units).withColumn("weight", weight).withColumn("cap", F.col("source_size") * passes)
     ranked = written(running_sums(
         sources, [F.col("cap") * (F.lit(lcm) / F.col("weight")).cast("bigint"), F.col("place")],

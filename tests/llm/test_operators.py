@@ -147,6 +147,12 @@ def test_mix_keeps_to_targets(docs, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_targets_of_a_corpus_of_a_billion_words(spark):
+    units = spark.createDataFrame([("a", 300_000_000), ("b", 300_000_000), ("c", 400_000_000)], "source string, unit_size bigint")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(units).collect()}
+    assert got == {"a": 625_000_000.0, "b": 250_000_000.0, "c": 125_000_000.0}
+
+
 def test_shards_are_gapless_and_keep_texts_together(docs, rows):
     got = sharding.byte_shards(docs, 4).collect()
     for shard in {r["shard"] for r in got}:
