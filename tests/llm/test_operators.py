@@ -153,6 +153,12 @@ def test_targets_of_a_corpus_of_a_billion_words(spark):
     assert got == {"a": 625_000_000.0, "b": 250_000_000.0, "c": 125_000_000.0}
 
 
+def test_mixed_documents_depend_on_the_ratio_of_weights_alone(docs):
+    # Weights of millions bring the products that a corpus of a billion words has.
+    wide = mixing.mixed_documents(docs, tuple(10**7 * w for w in mixing.WEIGHTS))
+    assert Counter(r["doc_id"] for r in wide.collect()) == Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+
+
 def test_shards_are_gapless_and_keep_texts_together(docs, rows):
     got = sharding.byte_shards(docs, 4).collect()
     for shard in {r["shard"] for r in got}:
