@@ -179,6 +179,30 @@ def test_topk_by_brute_force(spark):
         assert [(s, i) for _, s, i in mine] == scores
 
 
+def test_topk_of_many_shards_and_blocks(spark, monkeypatch):
+    """A shard travels once for many blocks, and a row that asks twice is ranked as SQL ranks it."""
+    for name, value in (("SHARD_NUMBERS", 64), ("BLOCK_NUMBERS", 12), ("BLOCKS", 4), ("LEAF", 3), ("LEAVES", 2)):
+        monkeypatch.setattr(topk, name, value)
+    dealt, search = [], topk._search
+    monkeypatch.setattr(topk, "_search", lambda pairs, top: (dealt.append(pairs), search(pairs, top))[1])
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(200)]
+    vectors += [(i, [float(x) for x in rng.integers(-2**21, 2**21, 3)]) for i in range(200, 260)]
+    vectors += [vectors[10], vectors[11], (20, vectors[30][1])]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = topk.top_inner_products(frame, F.col("vec_id") % 10 == 0).collect()
+    whole = [(i, [int(x) * 256 for x in v]) for i, v in vectors]
+    wanted = {}
+    for i, q in whole:
+        if i % 10 == 0:
+            wanted.setdefault(i, []).extend((-sum(map(int.__mul__, q, v)), j) for j, v in whole if j != i and len(v) == len(q))
+    assert {i: sorted(w)[:5] for i, w in wanted.items()} == {
+        i: [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] for i in wanted}
+    for pairs in dealt:
+        held = Counter((r["dim"], r["shard"]) for r in pairs.where("NOT asks").collect())
+        assert len(held) > 12 and max(held.values()) <= 3
+
+
 def test_simhash_groups(docs, rows):
     def plain(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
