@@ -258,3 +258,15 @@ def test_a_cell_is_read_as_a_number_once(spark):
     split = G.split_cells(rows)
     assert split._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(") <= 1
     assert split.select("nums", "words").head() == ([1200.0, 1000.0, 0.5, 7.0], ["볼트", "12EA"])
+
+
+def test_rows_of_a_staged_file_are_numbered_where_they_lie(spark, monkeypatch):
+    from workload import tables as T
+
+    plans = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    rows = T.sheet_rows(spark, "/root/testdata/sf0.001")
+    numbered = L.clean_rows(rows)
+    assert plans and "Exchange" not in plans[0] and "Window" in plans[0]
+    assert numbered.count() == L.filled_rows(rows).count()

@@ -1,8 +1,11 @@
+import glob
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quotelens.operators import master as M
-from quotelens.plans.checkpoints import shared_folder
+from quotelens.plans.checkpoints import shared_folder, written
 from quotelens.plans.ranking import first_per_key, with_running_number
 
 
@@ -66,3 +69,19 @@ def test_name_search(spark):
     master = spark.createDataFrame([("Air Cylinder",), ("BALL (BUSH)",), (None,)], "item_name string")
     assert M.search_names(master, "air|ball").count() == 2
     assert M.search_names(master, "(bush)", literal=True).count() == 1 and M.search_names(master, "").count() == 3
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        return {f for d in folders for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+    before, was = shuffled(), spark.conf.get(setting)
+    stored = written(spark.range(1000).repartition(7, "id"), "shuffled")
+    assert spark.conf.get(setting) == was and len(stored.collect()) == 1000
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before

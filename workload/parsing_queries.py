@@ -17,7 +17,8 @@ from workload.tables import CTE, NEEDS, sql
 
 
 def _rows(spark, sf):
-    return L.clean_rows(T.sheet_rows(spark, sf))
+    """Numbered rows; the name of the file, which no query of them uses, is not stored with each."""
+    return L.clean_rows(T.sheet_rows(spark, sf).drop("file_name"))
 
 
 def _filled(spark, sf):
@@ -211,7 +212,7 @@ SELECT file_id, CAST(sheet_idx AS INTEGER) AS sheet_idx, CAST(row_idx AS INTEGER
   coalesce(list_sum(nums), 0) AS num_sum, array_to_string(words, '|') AS words FROM all_cells""", "all_cells"))
 def prs_v1_split(spark, sf):
     """Numbers and texts of every row of every sheet."""
-    split = G.split_cells(_rows(spark, sf))
+    split = G.split_cells(L.clean_rows(T.sheet_rows(spark, sf).drop("file_name", "sheet")))
     total = F.aggregate("nums", F.lit(0.0), lambda a, v: a + v)
     return split.select(
         "file_id", "sheet_idx", "row_idx", F.size("nums").cast("bigint").alias("n_nums"), total.alias("num_sum"),
