@@ -270,3 +270,19 @@ def test_rows_of_a_staged_file_are_numbered_where_they_lie(spark, monkeypatch):
     numbered = L.clean_rows(rows)
     assert plans and "Exchange" not in plans[0] and "Window" in plans[0]
     assert numbered.count() == L.filled_rows(rows).count()
+
+
+def test_page_rows_are_rendered_where_their_lines_lie(spark, monkeypatch):
+    from quotelens.operators import pages as P
+    from workload import parsing_queries as Q
+
+    plans = []
+    monkeypatch.setattr(segments, "written", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        P.table_bodies(Q._page_table(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans and "Exchange" not in plans[0].split("Generate")[0] and "Union" not in plans[0]

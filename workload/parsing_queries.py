@@ -384,14 +384,10 @@ def _page_text(spark, sf):
 
 def _page_table(spark, sf):
     c = F.col
-    lines = T.numbered_lines(spark, sf)
-    orders = T.load(spark, sf, "orders").select(c("o_orderkey").alias("header_id"))
+    orders = T.load(spark, sf, "orders").select(c("o_orderkey").cast("string").alias("file_id"))
 
-    def rows(df, idx, cells):
-        return df.select(
-            c("header_id").cast("string").alias("file_id"), F.lit(2).alias("page"), F.lit(0).alias("table_idx"),
-            idx.cast("int").alias("row_idx"), cells.alias("cells"),
-        )
+    def row(idx, cells):
+        return F.struct(idx.cast("int").alias("row_idx"), cells.alias("cells"))
 
     def text(x):
         return F.coalesce(x.cast("string"), F.lit(""))
@@ -404,10 +400,11 @@ def _page_table(spark, sf):
     seven = F.array(text(c("rn")), *body)
     head = F.array(*[F.lit(w) for w in ("구분", "", "품 명", "규격", "단위", "수량", "단가(원)", "금액(원)", "비고")])
     before = F.array(*[F.lit(w) for w in ("x", "y", "early", "", "EA", "1", "5000", "5000", "")])
-    return (
-        rows(orders, F.lit(0), before)
-        .unionByName(rows(orders, F.lit(1), head))
-        .unionByName(rows(lines, c("rn") + 1, F.when(c("rn") % 2 == 0, nine).otherwise(seven)))
+    lines = T.with_numbered_lines(spark, sf, orders, ["item_name", "spec", "unit", "quantity", "unit_price", "amount", "maker"])
+    per_order, own = F.array(row(F.lit(0), before), row(F.lit(1), head)), row(c("rn") + 1, F.when(c("rn") % 2 == 0, nine).otherwise(seven))
+    return lines.select(
+        "file_id", F.lit(2).alias("page"), F.lit(0).alias("table_idx"),
+        F.inline(T.rendered(per_order, own, "array<struct<row_idx:int,cells:array<string>>>")),
     )
 
 
